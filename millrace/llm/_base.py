@@ -76,11 +76,3 @@ def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; 0 for null."""
     body = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     return F.when(text.isNull() | (body == ""), F.lit(0)).otherwise(F.size(F.split(body, r"[\x20\x09-\x0D]+"))).cast("long")
-
-
-def null_safe(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Join condition under which nulls match each other."""
-    out = F.lit(True)
-    for name in names:
-        out = out & left[name].eqNullSafe(right[name])
-    return out

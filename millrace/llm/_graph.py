@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,21 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     if total is None:
         total = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return total
+
+
+def forest(nodes: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, root) that connect the same nodes as links (a, b)."""
+    label = np.arange(nodes)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            touched = np.unique(np.concatenate([a, b]))
+            return touched, label[touched]
+        label = new

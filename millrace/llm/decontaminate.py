@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import ALNUM_WORD, Scratch, narrowed, null_safe, pieces, raw, read_table
+from ._base import ALNUM_WORD, Scratch, narrowed, pieces, raw, read_table
 
 WINDOW = 13
 #: Words of test items that one pass over the documents may carry to all executors.
@@ -146,8 +146,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         return parts[0]
     out = parts[0]
     for more in parts[1:]:
-        more = more.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id"), F.col("h"), F.col("spans").alias("more_spans"), F.col("items").alias("more_items"))
-        out = out.join(more, null_safe(out, more, "doc_id", "h"), "left").select(out.doc_id, out.h, "n_words", F.array_union("spans", "more_spans").alias("spans"), F.concat("items", "more_items").alias("items"))
+        more = more.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), F.col("spans").alias("more_spans"), F.col("items").alias("more_items"))
+        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("h").eqNullSafe(F.col("of_h")), "left").select("doc_id", "h", "n_words", F.array_union("spans", "more_spans").alias("spans"), F.concat("items", "more_items").alias("items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
     return out.select("doc_id", "n_words", covered.cast("long").alias("n_hit"), F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"))
 
@@ -200,8 +200,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tests = narrowed(benchmark, item_id="item_id", text="text").where("item_id is not null").withColumn("item_id", F.col("item_id").cast("string"))
     slices = _slices(tests, Scratch(docs.sparkSession, "items"))
     if len(slices) > 1:
-        bad = phrase_matches(docs, benchmark).where(verdict).select("doc_id").distinct()
-        return docs.join(bad, null_safe(docs, bad, "doc_id"), "left_anti")
+        bad = phrase_matches(docs, benchmark).where(verdict).select(F.col("doc_id").alias("_bad")).distinct()
+        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
     phrases = Phrases(slices[0])
 
     def run(batches):
