@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import severity_label
 
@@ -132,7 +133,7 @@ def _head(fmt: Column) -> Column:
     return _cat(f'{{"schema_version":{SCHEMA_VERSION},"format":', _quoted(fmt))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _indented(compact: pd.Series) -> pd.Series:
     return compact.map(lambda x: json.dumps(json.loads(x), indent=2, ensure_ascii=False) + "\n")
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import group, matches, trimmed
-from ..schema import BLOCKS, schema
+from ..schema import BLOCKS
 from ..sources.logs import prefix, samples
+from ..sources.scratch import written
 from .detection import ranked
 from .folding import block_rows, table
 from .formats.segments import ever
@@ -48,11 +49,10 @@ def _starts(text: Column, starts: list[str]) -> Column:
     return out
 
 
-def pick(sample: Column, used: Column) -> Column:
-    """The best stripper that wasn't used yet and is sure enough, else null."""
+def best(sample: Column, used: Column) -> Column:
+    """Score (less than zero) and name of the best stripper that wasn't used yet."""
     left = {k: F.when(F.array_contains(used, k), 0.0).otherwise(v) for k, v in scores(sample).items()}
-    best = F.element_at(ranked(left), 1)
-    return F.when(-best["s"] >= P.LEAST_CONFIDENCE, best["name"])
+    return F.element_at(ranked(left), 1)
 
 
 def peeled(line: Column, stage: Column) -> Column:
@@ -93,14 +93,14 @@ def chains(lines: DataFrame, sample_bytes: int = P.SAMPLE_BYTES) -> DataFrame:
     out = samples(lines, 4 * P.SAMPLE_MOST).select("log_id", F.col("sample").alias("text"), F.array().cast("array<string>").alias("chain"))
     for depth in range(len(NAMES)):
         sizes = [sample_bytes] if depth == 0 else range(P.SAMPLE_STEP, P.SAMPLE_MOST + 1, P.SAMPLE_STEP)
-        best = None
-        for size in sizes:
-            found = pick(prefix(F.col("text"), size), F.col("chain"))
-            fresh = found if best is None else F.when(F.octet_length("text") > size - P.SAMPLE_STEP, found)
-            best = fresh if best is None else F.coalesce(best, fresh)
-        # A log that nobody claims stays as it is in the rounds that follow.
+        # A log that nobody claims stays as it is in the rounds that follow. Each step is a column of its own, so that it is made once.
         live = F.lit(True) if depth == 0 else F.size("chain") == depth
-        out = out.withColumn("now", F.when(live, best))
+        out = out.withColumn("now", F.lit(None).cast("string"))
+        for k, size in enumerate(sizes):
+            fresh = live & F.col("now").isNull() & (F.lit(True) if k == 0 else F.octet_length("text") > size - P.SAMPLE_STEP)
+            out = out.withColumn("head", F.when(fresh, prefix(F.col("text"), size)))
+            out = out.withColumn("best", F.when(F.col("head").isNotNull(), best(F.col("head"), F.col("chain"))))
+            out = out.withColumn("now", F.coalesce("now", F.when(-F.col("best.s") >= P.LEAST_CONFIDENCE, F.col("best.name"))))
         out = out.select("log_id", F.when(F.col("now").isNull(), F.col("text")).otherwise(F.array_join(_cleaned(F.split("text", "\n", -1), F.col("now")), "\n")).alias("text"), F.when(F.col("now").isNull(), F.col("chain")).otherwise(F.array_append("chain", F.col("now"))).alias("chain"))
     return out.select("log_id", "chain")
 
@@ -115,12 +115,13 @@ def strip(lines: DataFrame, envelope: str = "auto", sample_bytes: int = P.SAMPLE
     if envelope not in (*NAMES, "auto", "none"):
         raise EnvelopeError(f"unknown envelope {envelope!r}; known: {', '.join(NAMES)}, auto, none")
     if envelope == "auto":
-        chain = chains(lines, sample_bytes)
+        # One small row per log, read by all that follows.
+        chain = written(chains(lines, sample_bytes))
     else:
         chain = lines.select("log_id").distinct().withColumn("chain", F.array(*([] if envelope == "none" else [F.lit(envelope)])).cast("array<string>"))
     named = chain.select("log_id", F.when(F.size("chain") == 0, "none").otherwise(F.array_join("chain", "+")).alias("envelope"))
     if envelope == "none":
-        return lines, lines.sparkSession.createDataFrame([], schema(BLOCKS)), named
+        return lines, lines.sparkSession.createDataFrame([], BLOCKS), named
     rows = lines.join(chain, "log_id").withColumns({"depth": F.lit(0), "command": F.lit(None).cast("string"), "args": F.lit(None).cast("string"), "code": F.lit(None).cast("string"), "off": F.lit(False)})
     for depth in range(len(NAMES) if envelope == "auto" else 1):
         stage = F.get("chain", F.lit(depth))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..schema import BLOCKS, schema
+from ..schema import BLOCKS, names
 from ..streaming.folds import Block, Fold
 
-_NAMES = [f.name for f in schema(BLOCKS)]
+_NAMES = names(BLOCKS)
 _KINDS = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.map_(pa.string(), pa.string())]
 
 

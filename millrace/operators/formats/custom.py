@@ -7,13 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ...functions import patterns as P
 from ...functions.text import matches
-from .segments import blocks, bodies, ever, running
-
-_WITHIN = Window.partitionBy("log_id", "island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+from .segments import before, blocks, bodies, ever, running
 
 
 @dataclass(frozen=True)
@@ -56,6 +53,6 @@ class CustomFormat:
             found = marked.where("start").select("log_id", F.col("line_no").alias("emit"), F.array("line").alias("body"), "line")
         else:
             islands = marked.withColumn("island", running(F.col("start"))).where("island > 0")
-            ends = islands.withColumn("over", ever(~F.col("start") & matches(F.col("line"), self.event_end), _WITHIN)).where("not over")
+            ends = islands.withColumn("over", ever(~F.col("start") & matches(F.col("line"), self.event_end), before("island"))).where("not over")
             found = bodies(ends, "island", line="line")
         return blocks(found, self.id, F.lit(self.kind or "match"), F.lit(self.severity or "error"), F.col("line"), attrs)

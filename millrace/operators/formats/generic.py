@@ -9,42 +9,49 @@ from ...functions import patterns as P
 from ...functions.text import matches, severity_rank, strip_ansi
 from ...streaming.folds import RANK, GenericFold
 from ..folding import fold_logs
-from .segments import BY_LINE, blocks
+from .segments import blocks, by_line
 
 
-def anchor(line: Column) -> Column:
-    """Severity and kind of the first rule that matches, null if none does."""
-    plain = strip_ansi(line)
-    out = None
-    for pattern, severity, kind in P.CATALOGUE:
-        found, value = matches(plain, pattern), F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"))
-        out = F.when(found, value) if out is None else out.when(found, value)
-    return out
+def classified(lines: DataFrame) -> DataFrame:
+    """With ``severity`` and ``kind`` of the first rule that matches a line, null if none does."""
+    rule = None
+    for k, (pattern, _, _) in enumerate(P.CATALOGUE, 1):
+        found = matches(F.col("plain"), pattern)
+        rule = F.when(found, k) if rule is None else rule.when(found, k)
+    # The rule's number is a column of its own, so that the rules are tried once a line.
+    ruled = lines.withColumn("plain", strip_ansi(F.col("line"))).withColumn("rule", rule)
+    severity, kind = (F.array(*(F.lit(r[k]) for r in P.CATALOGUE)) for k in (1, 2))
+    return ruled.withColumns({"severity": F.get(severity, F.col("rule") - 1), "kind": F.get(kind, F.col("rule") - 1)}).drop("plain", "rule")
 
 
 def anchors(lines: DataFrame, least: str = "error") -> DataFrame:
     """Lines that open an event: ``log_id, line_no, line, severity, kind``. No shuffle."""
-    found = lines.withColumn("a", anchor(F.col("line"))).where(F.col("a").isNotNull())
-    return found.select("log_id", "line_no", "line", "a.severity", "a.kind").where(severity_rank(F.col("severity")) >= RANK.get(least, 0))
+    return classified(lines).where(F.col("severity").isNotNull()).where(severity_rank(F.col("severity")) >= RANK.get(least, 0)).select("log_id", "line_no", "line", "severity", "kind")
 
 
 def with_context(lines: DataFrame, least: str = "error", context: int = P.CONTEXT_LINES) -> DataFrame:
     """Blocks of logs without tracebacks and panics: each anchor with the lines before it, and after it up to the next anchor."""
     n = context if context > 0 else P.CONTEXT_LINES
-    marked = lines.withColumn("a", anchor(F.col("line"))).withColumn("open", F.coalesce(severity_rank(F.col("a.severity")) >= RANK.get(least, 0), F.lit(False)))
-    before, after = BY_LINE.rowsBetween(-n, -1), BY_LINE.rowsBetween(1, n)
+    marked = classified(lines).withColumn("open", F.coalesce(severity_rank(F.col("severity")) >= RANK.get(least, 0), F.lit(False)))
+    before, after = by_line().rowsBetween(-n, -1), by_line().rowsBetween(1, n)
     near = marked.withColumns({
         "pre": F.collect_list("line").over(before), "post": F.collect_list("line").over(after),
         "gap": F.min(F.when(F.col("open"), F.col("line_no"))).over(after) - F.col("line_no"),
     }).where("open")
     post = F.slice("post", F.lit(1), F.coalesce(F.col("gap"), F.lit(n)).cast("int"))
-    found = near.select("log_id", F.col("line_no").alias("emit"), F.array("line").alias("body"), "line", "a", F.concat("pre", post).alias("context"))
-    return blocks(found, "generic", F.col("a.kind"), F.col("a.severity"), F.col("line"), None, F.col("context"))
+    found = near.select("log_id", F.col("line_no").alias("emit"), F.array("line").alias("body"), "line", "kind", "severity", F.concat("pre", post).alias("context"))
+    return blocks(found, "generic", F.col("kind"), F.col("severity"), F.col("line"), None, F.col("context"))
 
 
 def parse(lines: DataFrame, least: str = "error", context: int = P.CONTEXT_LINES) -> DataFrame:
     """Blocks. Logs with a traceback or panic go through the fold, since blocks of one kind may hide anchors of the other."""
-    opens = anchors(lines, least).where(F.col("kind").isin("traceback", "panic")).select("log_id").distinct()
+    plain, first = strip_ansi(F.col("line")), F.lit(False)
+    for pattern, _, kind in P.CATALOGUE:
+        # The rules of tracebacks and panics come before all others, so the others needn't be tried.
+        if kind not in ("traceback", "panic"):
+            break
+        first = first | matches(plain, pattern)
+    opens = lines.where(first).select("log_id").distinct()
     plain = lines.join(opens, "log_id", "left_anti")
     n = context if context > 0 else P.CONTEXT_LINES
     return with_context(plain, least, n).unionByName(fold_logs(lines.join(opens, "log_id", "left_semi"), "generic", lambda: GenericFold(least=least, context=n)))

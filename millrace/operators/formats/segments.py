@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-BY_LINE = Window.partitionBy("log_id").orderBy("line_no")
-SO_FAR = BY_LINE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
 
+def by_line(*keys: str) -> WindowSpec:
+    return Window.partitionBy("log_id", *keys).orderBy("line_no")
 
-def running(condition: Column, window=SO_FAR) -> Column:
-    return F.sum(F.when(condition, 1).otherwise(0)).over(window)
 
+def so_far(*keys: str) -> WindowSpec:
+    return by_line(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-def ever(condition: Column, window=SO_FAR) -> Column:
-    return F.coalesce(F.max(F.when(condition, 1).otherwise(0)).over(window), F.lit(0)) == 1
+
+def before(*keys: str) -> WindowSpec:
+    return by_line(*keys).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running(condition: Column, window: WindowSpec | None = None) -> Column:
+    return F.sum(F.when(condition, 1).otherwise(0)).over(window or so_far())
+
+
+def ever(condition: Column, window: WindowSpec | None = None) -> Column:
+    return F.coalesce(F.max(F.when(condition, 1).otherwise(0)).over(window or so_far()), F.lit(0)) == 1
 
 
 def bodies(lines: DataFrame, *keys: str, **firsts: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 LINES = "log_id string, line_no long, line string"
 
 LOCATION = "struct<file:string,line:int,column:int>"
@@ -16,8 +14,19 @@ EVENTS = (
     f"log_id string, seq long, severity string, kind string, title string, location {LOCATION}, body array<string>, context array<string>, "
     f"frames array<{FRAME}>, frames_collapsed int, count int, truncated boolean, metadata map<string,string>"
 )
-EVENT_COLUMNS = [part.split()[0] for part in EVENTS.replace(LOCATION, "x").replace(FRAME, "x").replace("map<string,string>", "x").split(", ")]
 
 
-def schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def names(ddl: str) -> list[str]:
+    """Column names of a schema text."""
+    out, depth, word = [], 0, ""
+    for c in ddl + ",":
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and depth == 0:
+            out.append(word.split()[0])
+            word = ""
+        else:
+            word += c
+    return out
+
+
+EVENT_COLUMNS = names(EVENTS)

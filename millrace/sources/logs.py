@@ -70,5 +70,8 @@ def samples(lines: DataFrame, size: int) -> DataFrame:
 
 
 def prefix(text: Column, size: int) -> Column:
-    """The first bytes of a text, as text; a character cut in two is replaced."""
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.decode(F.substring(F.encode(text, "UTF-8"), 1, size), "UTF-8"))
+    """The first bytes of a text, as text; of a character cut in two nothing is left."""
+    whole = F.encode(text, "UTF-8")
+    # Up to three bytes of a cut character go: the longest prefix that is valid is taken.
+    cut = F.coalesce(*(F.when(F.is_valid_utf8(part := F.substring(whole, 1, size - k).cast("string")), part) for k in range(4)))
+    return F.when(F.octet_length(text) <= size, text).otherwise(cut)
