@@ -261,9 +261,9 @@ SELECT log_id, emit, CASE WHEN sec = 'warnings' THEN 'warning' WHEN sec = 'failu
  CASE WHEN sec = 'warnings' THEN CASE WHEN TRY_CAST({_get('head', P.PY_ENTRY, 2)} AS BIGINT) > 0 THEN TRY_CAST({_get('head', P.PY_ENTRY, 2)} AS BIGINT) END WHEN pos IS NOT NULL THEN TRY_CAST({_get('pos', P.PY_LOCATION, 2)} AS BIGINT) END AS line, n_body, body_md5,
  CASE WHEN sec = 'failures' OR sec = 'errors' AND seen = 1 THEN 'test_id=' || {_get('head', P.PY_UNDERLINE, 1)} ELSE '' END AS meta FROM x"""
 
-QUERIES["gotest_json"] = _blocks(gotest.parse, GO_JSON_LOG, "gotest")
+QUERIES["gotest_json"] = _blocks(gotest.parse_json, GO_JSON_LOG, "gotest")
 SQL["gotest_json"] = f"""
-WITH j AS (SELECT log_id, line_no, line::JSON AS j FROM ({GO_JSON_LOG}) WHERE json_valid(line) AND log_id IN (SELECT log_id FROM ({GO_JSON_LOG}) GROUP BY log_id HAVING arg_min(line, line_no) LIKE '{{"Time":"%')),
+WITH j AS (SELECT log_id, line_no, line::JSON AS j FROM ({GO_JSON_LOG}) WHERE json_valid(line)),
 r AS (SELECT log_id, line_no, j->>'Action' AS a, coalesce(j->>'Package', '') AS p, coalesce(j->>'Test', '') AS t, regexp_replace(coalesce(j->>'Output', ''), '\\n+$', '') AS line FROM j),
 b AS (SELECT log_id, line_no AS emit, 'build_failure' AS kind, {_get('line', P.GO_BUILD_ERROR, 4)} AS title, {_get('line', P.GO_BUILD_ERROR, 1)} AS file, CAST({_get('line', P.GO_BUILD_ERROR, 2)} AS BIGINT) AS line, CAST(1 AS BIGINT) AS n_body, md5(line) AS body_md5, 'package=' || p AS meta FROM r WHERE a = 'output' AND t = '' AND {_has('line', P.GO_BUILD_ERROR)}),
 n AS (SELECT *, coalesce(sum((a IN ('fail', 'pass', 'skip'))::INT) OVER (PARTITION BY log_id, p, t ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM r WHERE t <> '' AND a IN ('fail', 'pass', 'skip', 'output')),
