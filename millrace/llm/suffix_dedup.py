@@ -96,7 +96,7 @@ def suffix_array(symbols: list[int]) -> list[int]:
 
 
 def _families(units: Units):
-    """Cuttings of contested pieces around FAMILY neighbouring windows, keyed by the bytes all these windows share."""
+    """Cuttings of contested pieces around FAMILY neighbouring windows: where they lie, a digest, and a key from the bytes all these windows share."""
 
     def run(batches):
         for b in pieces(batches, 1000):
@@ -107,10 +107,30 @@ def _families(units: Units):
                     first, last = anchor - min(FAMILY * f + FAMILY - 1, anchor), anchor - max(FAMILY * f, least)
                     at = anchor - FAMILY * f
                     common = xxhash.xxh3_64_intdigest(c[at : at + units.window - FAMILY + 1], f) >> 1
-                    out.append((fp, common, p1, p2, n == 1, first, c[first : last + units.window]))
+                    digest = xxhash.xxh3_64_intdigest(c[first : last + units.window], anchor - first) >> 1
+                    out.append((fp, common, digest, p1, p2, n == 1, first, last - first + 1))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["fp", "common", "p1", "p2", "single", "first", "bytes"])
+                kinds = (*(pa.int64(),) * 5, pa.bool_(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["fp", "common", "digest", "p1", "p2", "single", "first", "windows"])
+
+    return run
+
+
+_CUTTINGS = "fp long, common long, p1 long, p2 long, single boolean, first int, rows long, bytes binary"
+
+
+def _cuttings(units: Units):
+    """The bytes of the cuttings listed with each piece."""
+
+    def run(batches):
+        for b in pieces(batches, 1000):
+            out: list[tuple] = []
+            for fp, p1, p2, c, cuts in zip(*(b.column(k).to_pylist() for k in ("fp", "p1", "p2", "content", "cuts"))):
+                for x in cuts:
+                    out.append((fp, x["common"], p1, p2, x["single"], x["first"], x["rows"], c[x["first"] : x["first"] + x["windows"] - 1 + units.window]))
+            if out:
+                kinds = (*(pa.int64(),) * 4, pa.bool_(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["fp", "common", "p1", "p2", "single", "first", "rows", "bytes"])
 
     return run
 
@@ -177,16 +197,23 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     parts = scratch.save(cut(docs, repeated, units), "pieces")
     scratch.drop(posts)
     kinds, content = contested(parts, scratch)
-    family = scratch.save(content.mapInArrow(_families(units), "fp long, common long, p1 long, p2 long, single boolean, first int, bytes binary"), "families")
-    meet = family.groupBy("fp", "common").agg(F.count("*").alias("rows"), F.max("single").alias("any")).where("rows > 1 and any").select("fp", "common", "rows")
-    several = scratch.save(family.join(meet, ["fp", "common"]), "several")
+    family = scratch.save(content.mapInArrow(_families(units), "fp long, common long, digest long, p1 long, p2 long, single boolean, first int, windows int"), "families")
+    # Equal cuttings of different pieces repeat in whole and go to the suffix arrays once.
+    same = scratch.save(family.groupBy("fp", "common", "digest").agg(F.count("*").alias("c"), F.min(F.struct("p1", "p2", "first", "windows", "single")).alias("one")), "cuttings")
+    alone = (F.col("c") == 1) & F.col("one.single")
+    meet = same.groupBy("fp", "common").agg(F.count("*").alias("rows"), F.max(alone).alias("any")).where("rows > 1 and any").select("fp", "common", "rows")
+    listed = same.join(meet, ["fp", "common"]).select("fp", "one.p1", "one.p2", F.struct("common", "one.first", "one.windows", "rows", alone.alias("single")).alias("cut"))
+    listed = listed.groupBy("fp", "p1", "p2").agg(F.collect_list("cut").alias("cuts"))
+    several = scratch.save(content.join(listed, ["fp", "p1", "p2"]).select("fp", "p1", "p2", "content", "cuts").mapInArrow(_cuttings(units), _CUTTINGS), "several")
     usual, hot = several.where(F.col("rows") <= HOT_ROWS), several.where(F.col("rows") > HOT_ROWS)
+    copied = family.where("single").join(same.where("c > 1").select("fp", "common", "digest"), ["fp", "common", "digest"], "left_semi")
+    copied = copied.select("fp", "p1", "p2", F.explode(F.expr("sequence(first, first + windows - 1)")).alias("k"))
     arrays = max(1, -(-several.count() // ARRAY_ROWS))
     ordered = usual.withColumn("array", F.pmod(F.xxhash64("fp", "common"), F.lit(arrays))).groupBy("array").applyInArrow(_sorted(window), "fp long, p1 long, p2 long, k int")
     digests = hot.mapInArrow(_digests(window), "h1 long, h2 long, fp long, p1 long, p2 long, k int, single boolean")
     twice = digests.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
     counted = digests.where("single").join(twice, ["h1", "h2"], "left_semi").select("fp", "p1", "p2", "k")
-    single = ordered.unionByName(counted).groupBy("fp", "p1", "p2").agg(F.collect_set("k").alias("ks"))
+    single = ordered.unionByName(counted).unionByName(copied).groupBy("fp", "p1", "p2").agg(F.collect_set("k").alias("ks"))
     return removed(docs, joined_starts(parts, kinds, single, scratch), units, docs.schema["doc_id"].dataType.simpleString())
 
 
