@@ -5,8 +5,9 @@ agree in at least T of K coordinates share one of the K-T+1 rarest of either's (
 values that one set alone holds are skipped without being posted at all: a set with fewer than T shared values has no
 partner. Pairs above the match threshold are confirmed on the full sets.
 
-No list is expanded into all its pairs: in a first round each member of a list meets the list's smallest member only.
-In a second, members meet across the components found so far, long lists in blocks.
+No long list is expanded into its pairs. In a short list each member meets the smallest in a first round, and in a second
+those that are not in its component yet. Documents that long lists join are compared block by block with exact products of
+their shingle sets, which give a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import Scratch, narrowed, pieces, raw, read_table
-from ._graph import components
+from ._graph import components, forest
 
 WORDS, PERCENT = 5, 75
 K, T = 64, 32
-#: Lists up to this length are joined with themselves, longer ones are compared in blocks of this many signatures.
-BLOCK = 512
+#: Lists up to this length are joined with themselves; documents that longer ones join are compared in blocks.
+LONG, BLOCK = 64, 512
+#: Shingles in one product of a block comparison.
+COLUMNS = 4096
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -91,30 +94,63 @@ def _sets(words: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of one list, or of two of its blocks, that agree in T coordinates, may reach the similarity and aren't connected yet."""
+def _compared(percent: int):
+    """Links within a block of documents or between two, as a forest, by exact counts of shared shingles."""
 
     def run(key, table):
-        x, y = (int(key[1].as_py()), int(key[2].as_py()))
-        ids, n, comp, block = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "block"))
-        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, K)
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        a, b = [], []
-        for at in range(0, len(left), 64):
-            part = left[at : at + 64]
-            same = np.zeros((len(part), len(right)), np.uint8)
-            for c in range(K):
-                same += sig[part, c][:, None] == sig[right, c][None, :]
-            ok = (same >= T) & (comp[part][:, None] != comp[right][None, :])
-            small, large = np.minimum(n[part][:, None], n[right][None, :]), np.maximum(n[part][:, None], n[right][None, :])
-            i, j = np.nonzero(ok & (100 * small >= percent * large) & ((x != y) | (ids[part][:, None] < ids[right][None, :])))
-            a.append(ids[part][i])
-            b.append(ids[right][j])
-        return pa.table({"a": np.concatenate(a) if a else np.empty(0, np.int64), "b": np.concatenate(b) if b else np.empty(0, np.int64)})
+        side = table.column("right").to_numpy(zero_copy_only=False)
+        ids = table.column("rep").to_numpy()
+        sets = table.column("shingles").combine_chunks()
+        n = sets.value_lengths().to_numpy().astype(np.int64)
+        left, right = np.flatnonzero(~side), np.flatnonzero(side)
+        within = not len(right) and key[1].as_py() == key[2].as_py()
+        if within:
+            right = left
+        value, col = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(n)), n)
+        # Shingles of a single document can't be shared.
+        often = np.bincount(col, minlength=len(value)) > 1
+        number = np.cumsum(often) - 1
+        row, col = row[often[col]], number[col[often[col]]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(often.sum()), COLUMNS):
+            lo, hi = np.searchsorted(col, [at, at + COLUMNS])
+            part = np.zeros((len(n), COLUMNS), np.float32)
+            part[row[lo:hi], col[lo:hi] - at] = 1
+            both += part[left] @ part[right].T
+        both = both.astype(np.int64)
+        i, j = np.nonzero(100 * both >= percent * (n[left][:, None] + n[right][None, :] - both))
+        i, j = left[i], right[j]
+        ok = i < j if within else np.ones(len(i), bool)
+        node, root = forest(len(ids), i[ok], j[ok])
+        return pa.table({"u": ids[node], "v": ids[root]})
 
     return run
 
 
+def _dense(hot: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links among documents that long lists join: ``hot(key, rep, n)`` -> ``u, v``.
+
+    Documents joined by long lists, directly or over others, are dealt to cells of similar size, cells to blocks of at most
+    some BLOCK documents, and blocks are compared with those of their own and the next cell. A document goes to as many
+    tasks as there are such blocks, and a task gives a forest, so nothing grows with the number of pairs but the products.
+    """
+    firsts = hot.groupBy("key").agg(F.min("rep").alias("v"))
+    group = components(hot.join(firsts, "key").select(F.col("rep").alias("u"), "v"), scratch)
+    docs = hot.select("rep", "n").distinct().join(group, F.col("rep") == F.col("node"))
+    # Sets of n and m shingles are similar only if their cells are the same or neighbours.
+    docs = docs.select("rep", F.col("component").alias("g"), F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int").alias("cell"))
+    blocks = scratch.save(docs.groupBy("g", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cells")
+    near = blocks.select("g", F.col("cell").alias("c"), F.col("blocks").alias("b"))
+    own = docs.join(blocks, ["g", "cell"]).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = own.join(near, "g").where("c between cell - 1 and cell + 1").withColumn("o", F.explode(F.expr("sequence(0, b - 1)")))
+    one, other = F.struct("cell", "i"), F.struct(F.col("c").alias("cell"), F.col("o").alias("i"))
+    dealt = met.select("g", F.least(one, other).alias("x"), F.greatest(one, other).alias("y"), (other < one).alias("right"), "rep")
+    return dealt.join(sets, F.col("rep") == F.col("doc_id")).select("g", "x", "y", "right", "rep", "shingles").groupBy("g", "x", "y").applyInArrow(_compared(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -153,23 +189,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         same = F.expr("aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (t, x) -> t + x)")
         return pairs.join(b, "b").join(a, "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(same >= T).select("a", "b")
 
-    firsts = prefix.groupBy("key").agg(F.min("rep").alias("a"))
-    pairs = prefix.withColumnRenamed("rep", "b").join(firsts, "key").where("a <> b").select("a", "b").distinct()
-    links = scratch.save(confirmed(scratch.save(alike(pairs), "first")), "links")
+    lengths = prefix.groupBy("key").agg(F.count("*").alias("len"), F.min("rep").alias("a")).where("len > 1")
+    short, hot = lengths.where(f"len <= {LONG}"), lengths.where(f"len > {LONG}").select("key")
+    pairs = prefix.withColumnRenamed("rep", "b").join(short.select("key", "a"), "key").where("a <> b").select("a", "b").distinct()
+    dense = _dense(scratch.save(prefix.join(hot, "key", "left_semi").join(sized.select("rep", "n"), "rep"), "hot"), sets, percent, scratch)
+    links = scratch.save(confirmed(scratch.save(alike(pairs), "first")), "links").unionByName(scratch.save(dense, "dense"))
     found = components(links, scratch)
 
-    # Second round: lists that still hold several components.
-    labelled = prefix.join(found, prefix.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.count("*").alias("len"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and len > 2").select("key", "len")
-    rest = scratch.save(labelled.join(mixed, "key").join(sized, "rep").select("key", "rep", "comp", "len", "n", "sig"), "rest")
-    short = rest.where(f"len <= {BLOCK}")
-    p, q = short.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), short.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    some = p.join(q, "key").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-    long = rest.where(f"len > {BLOCK}").withColumn("nb", F.ceil(F.col("len") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    dealt = long.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).withColumns({"x": F.least("block", "o"), "y": F.greatest("block", "o")})
-    many = dealt.select("key", "x", "y", "rep", "n", "comp", "block", "sig").groupBy("key", "x", "y").applyInArrow(_across(percent), "a long, b long")
-    more = alike(some).unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = links.unionByName(scratch.save(confirmed(more.distinct()), "more"))
+    # Second round: short lists that still hold several components.
+    labelled = prefix.join(short.select("key", "len"), "key").join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "len", F.coalesce("component", "rep").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    rest = scratch.save(labelled.where("len > 2").join(mixed, "key", "left_semi").join(sized.select("rep", "n"), "rep").select("key", "rep", "comp", "n"), "rest")
+    p, q = rest.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na")), rest.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    more = p.join(q, "key").where(f"a < b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    links = links.unionByName(scratch.save(confirmed(alike(more)), "more"))
     found = components(links, scratch)
 
     named = classes.join(found, classes.rep == found.node, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
