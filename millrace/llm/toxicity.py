@@ -2,7 +2,7 @@
 
 A text's subwords are the byte n-grams of its ASCII-lower-cased form that lie inside one word, the separators before
 and after a word marking its ends; so an unseen misspelling shares most n-gram vectors with what it was made from. Each
-n-gram has a vector (hashed buckets); a document is the mean of its n-grams' vectors, weighted by how rare they are;
+n-gram has a vector (hashed buckets); a document is the mean of its n-grams' vectors, weighted by how surely they tell the classes apart;
 a softmax over two classes follows. Vectors and softmax are trained together.
 """
 
@@ -22,8 +22,8 @@ EPOCHS, BATCH, RATE = 12, 64, 0.5
 #: The classifier is fitted on at most so many labelled rows of each class, chosen by hash of the id.
 SAMPLE_PER_CLASS = 1500
 THRESHOLD = 0.7
-#: N-grams whose shares of the two classes differ less surely carry no weight in the average.
-LEAST_Z = 4.0
+#: An n-gram whose shares of the two classes lie so many standard errors apart keeps half its weight; weaker ones keep less.
+HALF_Z = 4.0
 #: Least norm of a document's weights: a few weak n-grams don't count as much as many strong ones.
 FLOOR = 8.0
 
@@ -54,10 +54,13 @@ def buckets(text: bytes | None) -> np.ndarray:
 
 
 def associations(df: np.ndarray, n0: int, n1: int) -> np.ndarray:
-    """Averaging weight of each bucket: how many standard errors its shares of the two classes lie apart, 0 below LEAST_Z."""
+    """Averaging weight of each bucket: how many standard errors its shares of the two classes lie apart, smoothly shrunk.
+
+    Every bucket seen has a weight above 0; a bucket never seen has nothing to say.
+    """
     p0, p1 = (df[0] + 0.5) / (n0 + 1), (df[1] + 0.5) / (n1 + 1)
     z = np.abs(p1 - p0) / np.sqrt(p0 * (1 - p0) / n0 + p1 * (1 - p1) / n1)
-    return np.where((z >= LEAST_Z) & (df.sum(0) >= 5), z, 0).astype(np.float32)
+    return np.where(df.sum(0) > 0, z**3 / (z * z + HALF_Z**2), 0).astype(np.float32)
 
 
 def fit(texts: list[bytes], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
@@ -106,9 +109,9 @@ def fit(texts: list[bytes], toxic: list[int]) -> tuple[np.ndarray, np.ndarray, f
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
             g = (p - onehot[some]) / len(some)
-            own, inverse = np.unique(idx, return_inverse=True)
+            own = np.flatnonzero(np.bincount(idx, minlength=size))
             back = (g @ soft.T)[owner] * val[:, None]
-            grad = np.stack([np.bincount(inverse, back[:, d], len(own)) for d in range(DIM)], 1).astype(np.float32)
+            grad = np.stack([np.bincount(idx, back[:, d], size)[own] for d in range(DIM)], 1).astype(np.float32)
             pace[0][own] += (grad * grad).sum(1)
             rate = RATE * (1 - epoch / EPOCHS)
             vectors[own] -= rate * 0.3 * grad / np.sqrt(pace[0][own])[:, None]

@@ -18,7 +18,7 @@ from millrace.llm.mixing import mixture, mixed, shuffled, splitting_tree, target
 from millrace.llm.substring_dedup import FingerprintLog, without_repeats
 from millrace.llm.suffix_dedup import suffix_array, without_repeated_bytes
 from millrace.llm.token_counts import token_counts
-from millrace.llm.toxicity import toxicity, without_toxic
+from millrace.llm.toxicity import buckets, fit, score, toxicity, without_toxic
 from millrace.llm._base import Scratch
 
 
@@ -236,6 +236,15 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity(docs, lab.limit(0)).collect()} == {0.5} and toxicity(docs.limit(0), lab).count() == 0
 
 
+def test_every_toxic_word_seen_weighs():
+    sf = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"SELECT doc_id, text, toxic FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) WHERE text IS NOT NULL ORDER BY doc_id").fetchall()
+    seen = [(t.encode(), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = fit([t for t, _ in seen], [y for _, y in seen])
+    for word in b"trash scum clown loser worthless idiot pathetic disgusting moron stupid".split():
+        assert any(y and word in t.lower() for t, y in seen) and (model[0][buckets(word)] > 0).all() and score(word, model) > score(b"", model), word
+
+
 @pytest.mark.parametrize("name", list(SQL))
 def test_sql(spark, name):
     from millrace.llm._queries import QUERIES
