@@ -115,27 +115,31 @@ def _taken(keyed: DataFrame, per: DataFrame) -> DataFrame:
     per = per.withColumnRenamed("source", "_source")
     out = keyed.join(per, keyed.source.cast("string").eqNullSafe(per._source), "left").withColumn("_copies", (F.col("base") + (F.col("_h") <= F.col("cut")).cast("int")).cast("int"))
     # Copy c of block b is draw c * blocks + (b rotated by c): passes run through the blocks in different orders.
+    number = "shiftleft(cast(c as bigint), bits) + if(c < base, pmod(shiftright(_h, 63 - bits) + c * 40503, shiftleft(1L, bits)), shiftright(_h, 63 - bits))"
+    # A draw's shard is the number of offsets up to it, found by halving: they may be 1,024.
+    steps = ", ".join(str(1 << k) for k in reversed(range(MAX_SHARDS.bit_length())))
+    shard = f"aggregate(array({steps}), 0, (n, k) -> n + if(get(offsets, n + k - 1) <= x.number, k, 0))"
     return out.withColumn("_draws", F.expr(
-        "transform(if(_copies > 0, sequence(0, _copies - 1), array()), c -> struct("
-        "size(filter(offsets, o -> o <= (shiftleft(cast(c as bigint), bits) + if(c < base, pmod(shiftright(_h, 63 - bits) + c * 40503, shiftleft(1L, bits)), shiftright(_h, 63 - bits))))) as shard, "
-        f"xxhash64({SEED}, doc_id, c) as place))"
+        f"transform(transform(if(_copies > 0, sequence(0, _copies - 1), array()), c -> struct(c, {number} as number)), "
+        f"x -> struct({shard} as shard, xxhash64({SEED}, doc_id, x.c) as place))"
     ))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns as they are, each repeated as often as it is taken."""
+def _laid(docs: DataFrame) -> DataFrame:
     narrow = narrowed(docs, doc_id="doc_id", text="text", source="source")
     out = _taken(_keyed(docs), plan(narrow)).withColumn("_draw", F.explode("_draws"))
-    return out.select(*(F.col(c) for c in docs.columns))
+    return out.repartition("_draw.shard").sortWithinPartitions("_draw.shard", "_draw.place")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns as they are, each repeated as often as it is taken, laid out as by ``shuffled``."""
+    return _laid(docs).select(*(F.col(c) for c in docs.columns))
 
 
 def shuffled(docs: DataFrame) -> DataFrame:
     """The mix laid out: rows with ``mix_shard``, each shard in one partition in its shuffled order."""
-    narrow = narrowed(docs, doc_id="doc_id", text="text", source="source")
-    out = _taken(_keyed(docs), plan(narrow)).withColumn("_draw", F.explode("_draws"))
-    out = out.select(*(F.col(c) for c in docs.columns), F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place"))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_place")
+    return _laid(docs).select(*(F.col(c) for c in docs.columns), F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixture(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "draws")

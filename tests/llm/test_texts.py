@@ -188,6 +188,36 @@ def test_mixing(spark, monkeypatch):
     assert mixture(docs.limit(0)).count() == 0
 
 
+def test_mix_is_laid_out_by_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 20_000)
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    of = {r.doc_id: (r.source, r._h) for r in mixing._keyed(docs).collect()}
+    plan = {r.source: r for r in mixing.plan(docs).collect()}
+    draws, blocks = {}, collections.defaultdict(set)
+    for r in mixing.op5_mixing(spark, sf).collect():
+        source, h = of[r.doc_id]
+        assert len(r.draws) == r.copies
+        for c, d in enumerate(r.draws):
+            draws[r.doc_id, d.place] = d.shard
+            blocks[source, d.shard].add((c, h >> (63 - plan[source].bits)))
+    assert len(set(draws.values())) > 3
+    # Where no block is empty, a shard has as many blocks of a source as the tree gave it.
+    for source, p in plan.items():
+        assert [len(blocks[source, k]) for k in range(len(p.offsets))] == np.diff([0, *p.offsets]).tolist()
+    own = collections.defaultdict(list)
+    for (doc, place), shard in draws.items():
+        own[shard].append((place, doc))
+    want = {tuple(doc for _, doc in sorted(x)) for x in own.values()}
+    for part in filter(None, mixed(docs).select("doc_id").rdd.glom().map(lambda rows: [r.doc_id for r in rows]).collect()):
+        at = 0
+        while at < len(part):
+            found = next(w for w in want if tuple(part[at : at + len(w)]) == w)
+            want.remove(found)
+            at += len(found)
+    assert not want
+
+
 @pytest.mark.parametrize("limit", [200, 2000, 10**9])
 def test_sharding(spark, limit):
     rng = random.Random(11)
