@@ -28,10 +28,10 @@ def terms(text: bytes | None) -> list[bytes]:
 
 
 class Phrases:
-    """Test phrases of ``window`` consecutive words, or whole items of fewer, with the items that hold each."""
+    """Test phrases of ``window`` consecutive words, or whole items of fewer, with the items that hold each; items without id come last, as one."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
-        self.items = sorted({i for i, _ in items})
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
+        self.items = sorted({i for i, _ in items}, key=lambda i: (i is None, i or ""))
         at = {x: n for n, x in enumerate(self.items)}
         self.ids: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
@@ -113,29 +113,31 @@ def near(shard: Shard, words: list[bytes], ids: dict[bytes, int], slop: int) ->
     return at
 
 
-_MATCHES = "n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>"
+_MATCHES = "n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>, nameless boolean"
 
 
-def _slices(benchmark: DataFrame, scratch: Scratch) -> list[list[tuple[str, bytes | None]]]:
+def _slices(benchmark: DataFrame, scratch: Scratch) -> list[list[tuple[str | None, bytes | None]]]:
     """The test items in lists of at most SLICE_WORDS words, each small enough to be sent to all executors."""
     sized = scratch.save(benchmark.select("item_id", "text", (F.octet_length(F.coalesce("text", F.lit(""))) / 2 + 1).cast("long").alias("size")), "items")
     total = sized.agg(F.sum("size")).first()[0] or 0
     n = max(1, -(-total // (SLICE_WORDS // 2)))
-    dealt = sized.withColumn("slice", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+    dealt = sized.withColumn("slice", F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(n)))
     return [[(r.item_id, None if r.text is None else r.text.encode()) for r in dealt.where(F.col("slice") == k).select("item_id", "text").collect()] for k in range(n)]
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, spans, items``; spans are word ranges hit, first and last included.
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, null_ids: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_hit, spans, items, nameless``; spans are word ranges hit, first and last included.
 
     A phrase is a run of ``window`` words of an item, or a whole item of fewer. Words are runs of ASCII letters and
     digits and of other than ASCII characters, in ASCII lower case. Null and wordless texts have no words and no match;
-    null item ids and wordless items are no phrases. Repeated rows are each judged; texts are read whole. With no items
+    wordless items are no phrases, nor are items with null ids unless ``null_ids``: then these hit as others do, are left
+    out of ``items`` and set ``nameless``. Repeated rows are each judged; texts are read whole. With no items
     nothing matches; further columns are ignored.
     """
     spark = docs.sparkSession
     docs = narrowed(docs, doc_id=id_col, text=text_col)
-    tests = narrowed(benchmark, item_id=item_col, text=item_text).where("item_id is not null").withColumn("item_id", F.col("item_id").cast("string"))
+    tests = narrowed(benchmark, item_id=item_col, text=item_text).withColumn("item_id", F.col("item_id").cast("string"))
+    tests = tests if null_ids else tests.where("item_id is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     slices = _slices(tests, Scratch(spark, "items"))
     if len(slices) > 1:
@@ -146,10 +148,10 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         return parts[0]
     out = parts[0]
     for more in parts[1:]:
-        more = more.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), F.col("spans").alias("more_spans"), F.col("items").alias("more_items"))
-        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("h").eqNullSafe(F.col("of_h")), "left").select("doc_id", "h", "n_words", F.array_union("spans", "more_spans").alias("spans"), F.concat("items", "more_items").alias("items"))
+        more = more.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), F.col("spans").alias("more_spans"), F.col("items").alias("more_items"), F.col("nameless").alias("more_nameless"))
+        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("h").eqNullSafe(F.col("of_h")), "left").select("doc_id", "h", "n_words", F.array_union("spans", "more_spans").alias("spans"), F.concat("items", "more_items").alias("items"), (F.col("nameless") | F.col("more_nameless")).alias("nameless"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
-    return out.select("doc_id", "n_words", covered.cast("long").alias("n_hit"), F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"))
+    return out.select("doc_id", "n_words", covered.cast("long").alias("n_hit"), F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"), "nameless")
 
 
 def _matched(phrases: Phrases):
@@ -164,7 +166,7 @@ def _found(b: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
     shard = Shard(raw(b.column(b.schema.get_field_index("text"))), phrases)
     phrase, start = shard.search(phrases)
     doc = shard.document(start)
-    n_hit, spans, items = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
+    n_hit, spans, items, nameless = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)], np.zeros(b.num_rows, bool)
     order = np.argsort(doc, kind="stable")
     for d, rows in zip(*_grouped(doc[order], order)):
         s = start[rows] - shard.first[d]
@@ -176,11 +178,13 @@ def _found(b: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
         step = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
         spans[d] = [{"first": int(a), "last": int(z) - 1} for a, z in zip(step[::2], step[1::2])]
         own = np.unique(np.concatenate([phrases.owners[p] for p in np.unique(phrase[rows])]))
-        items[d] = sorted(phrases.items[i] for i in own)
+        ids = [phrases.items[i] for i in own]
+        nameless[d] = None in ids
+        items[d] = sorted(i for i in ids if i is not None)
     keep = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
     return pa.RecordBatch.from_arrays(
-        [*keep, pa.array(shard.n_words), pa.array(n_hit), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-        [*(n for n in b.schema.names if n != "text"), "n_words", "n_hit", "spans", "items"],
+        [*keep, pa.array(shard.n_words), pa.array(n_hit), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string())), pa.array(nameless)],
+        [*(n for n in b.schema.names if n != "text"), "n_words", "n_hit", "spans", "items", "nameless"],
     )
 
 
@@ -190,17 +194,17 @@ def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.nd
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
-    """``phrase_matches`` with the verdict: at least a twentieth of a document's words, and one at least, are hit."""
-    return phrase_matches(docs, benchmark, **columns).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    """``phrase_matches``, by items with null ids too, with the verdict: at least a twentieth of a document's words, and one at least, are hit."""
+    return phrase_matches(docs, benchmark, null_ids=True, **columns).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``contamination`` clears."""
     verdict = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    tests = narrowed(benchmark, item_id="item_id", text="text").where("item_id is not null").withColumn("item_id", F.col("item_id").cast("string"))
+    tests = narrowed(benchmark, item_id="item_id", text="text").withColumn("item_id", F.col("item_id").cast("string"))
     slices = _slices(tests, Scratch(docs.sparkSession, "items"))
     if len(slices) > 1:
-        bad = phrase_matches(docs, benchmark).where(verdict).select(F.col("doc_id").alias("_bad")).distinct()
+        bad = phrase_matches(docs, benchmark, null_ids=True).where(verdict).select(F.col("doc_id").alias("_bad")).distinct()
         return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
     phrases = Phrases(slices[0])
 
@@ -215,7 +219,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", (F.size("items") + F.col("nameless").cast("int")).cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 OP8_SQL = r"""

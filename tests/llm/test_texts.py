@@ -152,6 +152,23 @@ def test_decontamination(spark, monkeypatch, slice_words):
     assert phrase_matches(docs_of(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("slice_words", [2_000_000, 10])
+def test_items_without_id_contaminate(spark, monkeypatch, tmp_path, slice_words):
+    monkeypatch.setattr(decontaminate, "SLICE_WORDS", slice_words)
+    items = [(None, "only in the nameless item"), (None, "another nameless one"), (1, "a named item here"), (2, "only in the nameless item"), (3, None)]
+    texts = ["x only in the nameless item", "another nameless one y", "a named item here and another nameless one", "clean words", None]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = decontaminate.op8_decontamination(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({decontaminate.OP8_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and [w[3] for w in sorted(want)] == [2, 1, 2, 0, 0]
+    kept = decontaminate.without_contaminated(docs_of(spark, texts), spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
 def test_proximity():
     p = Phrases([("a", b"x y z")])
     s = Shard([b"x q q y q z", b"z", b"y x"], p)
