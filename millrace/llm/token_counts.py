@@ -8,6 +8,8 @@ where the block is: pre-tokens are many and rarely shared, so moving them would
 
 from __future__ import annotations
 
+import collections
+
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +44,7 @@ class Counter:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        rows = [(t or b"").split() for t in texts]
+        rows = [collections.Counter((t or b"").split()) for t in texts]
         new = list({w for r in rows for w in r if w not in known})
         short = [w for w in new if len(w) <= LONG]
         for at in range(0, len(short), 20_000):
@@ -50,8 +52,8 @@ class Counter:
             known.update(zip(part, self.pieces(part)))
         long = {w: self.pieces([w])[0] for w in new if len(w) > LONG}
         if not long:
-            return [sum(map(known.__getitem__, r)) for r in rows]
-        return [sum(known[w] if len(w) <= LONG else long[w] for w in r) for r in rows]
+            return [sum(n * known[w] for w, n in r.items()) for r in rows]
+        return [sum(n * (known[w] if len(w) <= LONG else long[w]) for w, n in r.items()) for r in rows]
 
 
 _counters: dict[str, Counter] = {}

@@ -17,7 +17,7 @@ from millrace.llm.line_dedup import without_repeated_lines
 from millrace.llm.mixing import mixture, mixed, shuffled, splitting_tree, targets
 from millrace.llm.substring_dedup import FingerprintLog, without_repeats
 from millrace.llm.suffix_dedup import suffix_array, without_repeated_bytes
-from millrace.llm.token_counts import token_counts
+from millrace.llm.token_counts import Counter, token_counts
 from millrace.llm.toxicity import buckets, fit, score, toxicity, without_toxic
 from millrace.llm._base import Scratch
 
@@ -110,6 +110,22 @@ def test_tokens(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 2048)
 
 
+def test_pieces_are_joined_to_frequencies():
+    import public_tokenizers
+
+    class Asked(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            self.n += 1
+            return super().__getitem__(key)
+
+    counter = Counter(public_tokenizers.path("word_bpe_49k.json"))
+    counter.known = Asked()
+    assert counter.count([b"a b a a", None, b"b", b"a " * 9 + b"w" * 90]) == [4, 0, 1, 9 + counter.pieces([b"w" * 90])[0]]
+    assert counter.known.n == 4
+
+
 def matched(docs, items, size=13):
     split = lambda t: [w for w in __import__("re").findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower().encode() if (t or "").isascii() else bytes((t or "").encode()).lower())]
     found = {}
