@@ -98,12 +98,14 @@ class Shard:
         return np.searchsorted(self.first, at, side="right") - 1
 
 
-def near(shard: Shard, words: list[bytes], ids: dict[bytes, int], slop: int) -> np.ndarray:
-    """Positions of the rarest word about which all words occur, in any order, within ``slop`` words to either side."""
+def near(shard: Shard, words: list[bytes], ids: dict[bytes, int], slop: int, anchor: bytes | None = None) -> np.ndarray:
+    """Positions of the rarest word, or of ``anchor``, about which all words occur, in any order, within ``slop`` words to either side."""
     t = np.array([ids.get(w, -1) for w in words], np.int64)
     if not len(t) or (t < 0).any():
         return np.empty(0, np.int64)
     t = t[np.argsort(shard.frequency(t), kind="stable")]
+    if anchor is not None:
+        t = np.concatenate([[ids[anchor]], t])
     at = shard.position[shard.start[t[0]] : shard.start[t[0] + 1]]
     for x in t[1:]:
         there = shard.position[shard.start[x] : shard.start[x + 1]]
@@ -193,6 +195,55 @@ def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return u, np.split(rows, at[1:]) if len(u) else []
 
 
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int = WINDOW) -> DataFrame:
+    """One row per document and item that meet: ``doc_id, item_id, positions``, the places of the item's anchor about which all its words occur.
+
+    The anchor is the item's word that is rarest in all documents, the least of equals; the others may stand in any
+    order within ``slop`` words to either side of it. Words are as in ``phrase_matches``, counted from 0. Each row of
+    either table is matched by itself, null ids too; wordless items meet nothing.
+    """
+    docs = narrowed(docs, doc_id=id_col, text=text_col)
+    tests = narrowed(benchmark, item_id=item_col, text=item_text).withColumn("item_id", F.col("item_id").cast("string"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = None
+    for items in _slices(tests, Scratch(docs.sparkSession, "items")):
+        part = docs.mapInArrow(_near(items, _counts(docs, Phrases(items, 1)), slop), f"doc_id {kind}, item_id string, positions array<long>")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _counts(docs: DataFrame, phrases: Phrases) -> dict[int, int]:
+    """How often each term of the phrases occurs in all documents."""
+
+    def run(batches):
+        for b in pieces(batches, SHARD_ROWS):
+            n = np.diff(Shard(raw(b.column(1)), phrases).start)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["term", "n"])
+
+    return {r.term: r.n for r in docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+
+
+def _near(items: list[tuple[str | None, bytes | None]], counts: dict[int, int], slop: int):
+    phrases = Phrases(items, 1)
+    asked = [(i, sorted(set(terms(t)))) for i, t in items]
+    # An item with a word that no document has meets nothing.
+    asked = [(i, w, min(w, key=lambda x: (counts[phrases.ids[x]], x))) for i, w in asked if w and all(phrases.ids[x] in counts for x in w)]
+
+    def run(batches):
+        for b in pieces(batches, SHARD_ROWS):
+            shard = Shard(raw(b.column(1)), phrases)
+            rows, names, places = [], [], []
+            for item, words, anchor in asked:
+                at = near(shard, words, phrases.ids, slop, anchor)
+                for d, p in zip(*_grouped(shard.document(at), at)):
+                    rows.append(int(d))
+                    names.append(item)
+                    places.append((p - shard.first[d]).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int64()))], ["doc_id", "item_id", "positions"])
+
+    return run
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """``phrase_matches``, by items with null ids too, with the verdict: at least a twentieth of a document's words, and one at least, are hit."""
     return phrase_matches(docs, benchmark, null_ids=True, **columns).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

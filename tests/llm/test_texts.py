@@ -191,6 +191,28 @@ def test_proximity():
     assert near(s, [b"x", b"y"], p.ids, 3).tolist() == [0, s.first[2] + 1] and near(s, [b"x", b"y"], p.ids, 2).tolist() == [s.first[2] + 1]
 
 
+@pytest.mark.parametrize("parts, slice_words", [(1, 2_000_000), (5, 2_000_000), (3, 20)])
+def test_proximity_over_all_shards(spark, monkeypatch, parts, slice_words):
+    monkeypatch.setattr(decontaminate, "SLICE_WORDS", slice_words)
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices("abcdefghij", [9, 8, 7, 6, 5, 4, 3, 2, 1, 1], k=rng.randint(0, 30))) for _ in range(60)] + [None, "", "A, b"]
+    items = [(i, " ".join(rng.sample("abcdefghij", rng.randint(1, 4)))) for i in range(12)] + [(None, "b a b"), (20, "a zz"), (21, ""), (22, None)]
+    all_words = [(t or "").lower().replace(",", "").split() for t in texts]
+    count = collections.Counter(w for ws in all_words for w in ws)
+    want = []
+    for item, text in items:
+        asked = set((text or "").split())
+        if asked and all(count[w] for w in asked):
+            anchor = min(asked, key=lambda w: (count[w], w))
+            for d, ws in enumerate(all_words):
+                at = [p for p, w in enumerate(ws) if w == anchor and asked <= set(ws[max(0, p - 3) : p + 4])]
+                want += [(d, str(item), at)] if at else []
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.proximity_matches(docs_of(spark, texts).repartition(parts), bench, slop=3).collect()
+    assert sorted((r.doc_id, str(r.item_id), list(r.positions)) for r in got) == sorted(want) and want
+    assert decontaminate.proximity_matches(docs_of(spark, texts), bench.limit(0)).count() == 0
+
+
 def test_targets():
     got = targets([100, 1000, 10], [5, 2, 1], 1110)
     assert got[0] == 300 and got[2] == 30 and abs(sum(got) - 1110) < 1e-9 and targets([], [], 0) == []
