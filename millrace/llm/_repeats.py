@@ -4,6 +4,10 @@ In each window the least of its seeds (short runs of units, by hash) is selected
 equal places. Only selected seeds are posted. Consecutive windows that select the same seed occurrence form a piece.
 Pieces of seeds that occur twice are compared: equal pieces repeat in whole, and only of seeds with several different
 pieces are single windows looked at, one representative of each distinct piece. So thousands of copies cost one.
+
+A row is known by a number of its own, written with its text, so rows equal in all columns stay apart. Where a piece lies
+is one long, ``place``: the first window start, how far the seed lies from it, and how many windows follow it.
+Window ranges are longs too: the first start, and in the lower half the last.
 """
 
 from __future__ import annotations
@@ -17,11 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import pieces, raw
+from ._base import Scratch, pieces, raw
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 2**64)
 _BYTE = np.random.Generator(np.random.PCG64(97)).integers(0, 2**63, 256, dtype=np.uint64)
+_LOW = 0xFFFFFFFF
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -37,12 +42,16 @@ def _power(base: int, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Units:
-    """What a window is made of: ``window`` units, seeds of ``seed`` units."""
+    """What a window is made of: ``window`` units, seeds of ``seed`` units; a window has at most 256 seeds."""
 
     window: int
     seed: int
     words: bool
 
+    def __post_init__(self):
+        if not 0 < self.seed <= self.window <= self.seed + 255:
+            raise ValueError("a window has 1 to 256 seeds")
+
     def split(self, text: bytes | None):
         return (text or b"").split() if self.words else (text or b"")
 
@@ -74,16 +83,16 @@ class Units:
         ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         m = len(key) - w + 1
-        return g, (np.minimum(behind[:m], ahead[w - 1 : w - 1 + m]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return g, (np.minimum(behind[:m], ahead[w - 1 : w - 1 + m]) & np.uint64(_LOW)).astype(np.int64)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` with ``rid``, a hash that rows equal in both share."""
-    return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``doc_id, text`` with ``rid``, the row's own number, written so that every later read gives the same."""
+    return scratch.save(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "docs")
 
 
 def posted(docs: DataFrame, units: Units) -> DataFrame:
-    """``fp, rid, pos``: every selected seed of every document."""
+    """``fp, rid, place``: every selected seed of every document."""
 
     def run(batches):
         for b in pieces(batches, 500):
@@ -91,41 +100,87 @@ def posted(docs: DataFrame, units: Units) -> DataFrame:
             for rid, t in zip(b.column(0).to_pylist(), raw(b.column(1))):
                 g, s = units.selected(units.split(t))
                 if len(s):
-                    s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-                    fps.append(g[s])
-                    places.append(s)
-                    rids.append(np.full(len(s), rid, np.int64))
+                    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                    last = np.concatenate([first[1:], [len(s)]]) - 1
+                    fps.append(g[s[first]])
+                    places.append(first << 16 | (s[first] - first) << 8 | (last - first))
+                    rids.append(np.full(len(first), rid, np.int64))
             if fps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(rids)), pa.array(np.concatenate(places).astype(np.int32))], ["fp", "rid", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([y.view(np.int64) for y in fps], rids, places)], ["fp", "rid", "place"])
+
+    return docs.select("rid", "text").mapInArrow(run, "fp long, rid long, place long")
+
+
+def repeated(posts: DataFrame, hits: DataFrame) -> DataFrame:
+    """Of each document the posts whose seeds are in ``hits(fp)``, a written table, so that a seed with very many posts is split."""
+    return posts.join(hits, "fp", "left_semi").groupBy("rid").agg(F.collect_list("fp").alias("fps"), F.collect_list("place").alias("places"))
+
 
-    return docs.select("rid", "text").mapInArrow(run, "fp long, rid long, pos int")
+def _signed(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def cut(docs: DataFrame, repeated: DataFrame, units: Units) -> DataFrame:
-    """Pieces of the seeds in ``repeated(rid, places)``: ``fp, p1, p2, rid, first, last, anchor, content``; p1 and p2 are the content's digest."""
+def digested(docs: DataFrame, found: DataFrame, units: Units) -> DataFrame:
+    """Pieces of ``found(rid, fps, places)`` without their content: ``fp, p1, p2, rid, place``; p1 and p2 are the content's digest."""
 
     def run(batches):
         for b in pieces(batches, 200):
             out: list[tuple] = []
-            for rid, t, places in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2).to_pylist()):
+            for rid, t, fps, places in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 u = units.split(t)
-                g, s = units.selected(u)
-                if not len(s):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-                last = np.concatenate([first[1:], [len(s)]]) - 1
-                some = np.isin(s[first], np.array(places))
-                for a, z in zip(first[some].tolist(), last[some].tolist()):
-                    p = int(s[a])
-                    c = units.content(u, a, z)
-                    d = xxhash.xxh3_128_digest(c)
-                    out.append((int(g[p].view(np.int64)), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), rid, a, z, p - a, c))
+                for fp, place in zip(fps, places):
+                    a = place >> 16
+                    out.append((fp, *_signed(xxhash.xxh3_128_digest(units.content(u, a, a + (place & 255)))), rid, place))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["fp", "p1", "p2", "rid", "first", "last", "anchor", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["fp", "p1", "p2", "rid", "place"])
+
+    both = docs.select("rid", "text").join(found, "rid").select("rid", "text", "fps", "places")
+    return both.mapInArrow(run, "fp long, p1 long, p2 long, rid long, place long")
+
+
+_CONTENT = "fp long, p1 long, p2 long, n long, anchor int, content binary"
+
+
+def contested(docs: DataFrame, parts: DataFrame, units: Units, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Distinct pieces ``fp, p1, p2, n``, and of seeds with several of them, one alone at least, each piece once with its content: ``anchor`` is where its seed lies."""
+    kinds = scratch.save(parts.groupBy("fp", "p1", "p2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("rep")), "kinds")
+    several = scratch.save(kinds.groupBy("fp").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("fp"), "seeds")
+    reps = kinds.join(several, "fp", "left_semi").groupBy(F.col("rep.rid").alias("rid")).agg(*(F.collect_list(c).alias(a) for c, a in (("fp", "fps"), ("p1", "p1s"), ("p2", "p2s"), ("n", "ns"), ("rep.place", "places"))))
+
+    def run(batches):
+        for b in pieces(batches, 200):
+            out: list[tuple] = []
+            for t, *cols in zip(raw(b.column(0)), *(b.column(i).to_pylist() for i in range(1, 6))):
+                u = units.split(t)
+                for fp, p1, p2, n, place in zip(*cols):
+                    a = place >> 16
+                    out.append((fp, p1, p2, n, place >> 8 & 255, units.content(u, a, a + (place & 255))))
+            if out:
+                kinds = (*(pa.int64(),) * 4, pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["fp", "p1", "p2", "n", "anchor", "content"])
+
+    content = docs.select("rid", "text").join(reps, "rid").select("text", "fps", "p1s", "p2s", "ns", "places").mapInArrow(run, _CONTENT)
+    return kinds, scratch.save(content, "contested")
+
+
+def ranges(parts: DataFrame, kinds: DataFrame, single: DataFrame, scratch: Scratch) -> DataFrame:
+    """Ranges of window starts that repeat, per document: ``rid, ranges``.
+
+    Whole pieces where a piece occurs twice, else the ranges within the piece in ``single(fp, p1, p2, rs)``.
+    """
+    more = scratch.save(kinds.where("n > 1").select("fp", "p1", "p2", F.lit(None).cast("array<bigint>").alias("rs")).unionByName(single), "repeats")
+    own = parts.join(more, ["fp", "p1", "p2"]).select("rid", "place", "rs")
+    own = own.withColumn("first", F.expr("shiftright(place, 16)"))
+    at = F.expr(f"if(rs is null, array(shiftleft(first, 32) + first + (place & 255)), transform(rs, r -> shiftleft(first + shiftright(r, 32), 32) + first + (r & {_LOW})))")
+    return scratch.save(own.select("rid", at.alias("r")).groupBy("rid").agg(F.flatten(F.collect_list("r")).alias("ranges")), "ranges")
+
 
-    both = docs.select("rid", "text").join(repeated, "rid").select("rid", "text", "places")
-    return both.mapInArrow(run, "fp long, p1 long, p2 long, rid long, first int, last int, anchor int, content binary")
+def _spans(found: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of units under windows that start in the given ranges: starts and ends."""
+    found = np.sort(found)
+    a, z = found >> 32, np.maximum.accumulate((found & _LOW) + window)
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]]))
+    return a[new], z[np.concatenate([new[1:], [len(a)]]) - 1]
 
 
 def removed(docs: DataFrame, starts: DataFrame, units: Units, kind: str) -> DataFrame:
@@ -134,23 +189,21 @@ def removed(docs: DataFrame, starts: DataFrame, units: Units, kind: str) -> Data
     def run(batches):
         for b in pieces(batches, 500):
             rows: list[tuple] = []
-            for t, ranges in zip(raw(b.column(1)), b.column(2).to_pylist()):
+            lists = b.column(2)
+            at = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()
+            for i, t in enumerate(raw(b.column(1))):
                 u = units.split(t)
                 n = len(u)
-                if not ranges:
+                if at[i] == at[i + 1]:
                     rows.append((n, 0, 0, b" ".join(u) if units.words else u))
                     continue
-                edge = np.zeros(n + 1, np.int64)
-                for r in ranges:
-                    edge[r["a"]] += 1
-                    edge[r["z"] + units.window] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                step = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                keep = [u[a:z] for a, z in zip([0, *step[1::2].tolist()], [*step[::2].tolist(), n])]
-                rows.append((n, int(gone.sum()), len(step) // 2, b" ".join(w for k in keep for w in k) if units.words else b"".join(keep)))
+                a, z = _spans(values[at[i] : at[i + 1]], units.window)
+                keep = [u[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), n])]
+                rows.append((n, int((z - a).sum()), len(a), b" ".join(w for k in keep for w in k) if units.words else b"".join(keep)))
             n, gone, spans, kept = zip(*rows) if rows else ((),) * 4
             sha = [hashlib.sha256(k).hexdigest() for k in kept]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], ["doc_id", "n_units", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    both = docs.join(starts, "rid", "left").select("doc_id", "text", "ranges")
+    both = docs.join(starts, "rid", "left").select("doc_id", "text", F.coalesce("ranges", F.array().cast("array<bigint>")).alias("ranges"))
     return both.mapInArrow(run, f"doc_id {kind}, n_units long, n_removed long, n_spans long, kept binary, kept_sha256 string")

@@ -6,9 +6,13 @@ suffixes so found move, by how often they were found, to new groups just above t
 filled in ascending order: each suffix placed puts the one before it, and those on its chain of previous-smaller
 pointers, into the next free places of their groups.
 
-In the corpus, candidate pieces come from selected seeds (see ``_repeats``). Where a seed has several different pieces,
-those that share all but the margins of some window meet in one suffix array, and windows next to each other in it are
-compared.
+In the corpus, candidate pieces come from selected seeds (see ``_repeats``). The different pieces of a seed meet in one
+suffix array. They are aligned at the seed, so between the places where two of them begin or cease to agree all their
+windows agree or differ alike: the bytes between two such places are one symbol, ranked by its bytes, and one window
+stands for all that start there. Windows next to each other in the suffix array are compared symbol by symbol.
+The pieces of a seed that has very many are cut into families of neighbouring windows that share all but their margins;
+a family that is still too large for one array is sorted in several, and the windows that differ within each are
+merged by their 128-bit digests.
 """
 
 from __future__ import annotations
@@ -19,14 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import Scratch, narrowed, pieces, read_table
-from ._repeats import Units, cut, keyed, posted, removed
-from .substring_dedup import contested, joined_starts
+from ._repeats import Units, contested, digested, numbered, posted, ranges, removed, repeated
 
 WINDOW, SEED = 200, 40
-#: Neighbouring window starts that go to a suffix array together.
+#: Neighbouring window starts of a family.
 FAMILY = 16
-#: Cuttings in one suffix array, and beyond which a group's windows are told apart by digest alone.
-ARRAY_ROWS, HOT_ROWS = 1000, 4000
+#: Strings of one seed or family that meet in one suffix array.
+ARRAY_ROWS = 2000
+#: Bytes that a suffix array is made for, and that a task sorts, more or less.
+ARRAY_BYTES, TASK_BYTES = 1 << 18, 1 << 22
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -95,8 +100,110 @@ def suffix_array(symbols: list[int]) -> list[int]:
     return out
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    most = min(len(a), len(b))
+    if a[:most] == b[:most]:
+        return most
+    least = 0
+    while most - least > 1:
+        mid = (least + most) // 2
+        if a[least:mid] == b[least:mid]:
+            least = mid
+        else:
+            most = mid
+    return least
+
+
+def _agreement(strings: list[bytes]) -> tuple[list[int], set[int]]:
+    """For each string the longest prefix that it shares with another, and all lengths at which some part ways."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    most, ways = [0] * len(strings), set()
+    for x, y in zip(order, order[1:]):
+        n = _shared(strings[x], strings[y])
+        ways.add(n)
+        most[x], most[y] = max(most[x], n), max(most[y], n)
+    return most, ways
+
+
+class _Group:
+    """Strings ``(anchor, content)`` aligned at their anchors, as symbols. A window is known by how many of its bytes lie before the anchor.
+
+    ``spread``: equal windows may be elsewhere too, so all windows are kept and not only those that some other string may share.
+    """
+
+    def __init__(self, strings: list[tuple[int, bytes]], window: int, spread: bool):
+        left, cuts = _agreement([c[:a][::-1] for a, c in strings])
+        right, ends = _agreement([c[a:] for a, c in strings])
+        if spread:
+            left, right = [a for a, _ in strings], [len(c) - a for a, c in strings]
+            cuts, ends = cuts | set(left), ends | set(right)
+        self.strings, self.window = strings, window
+        #: Where windows may begin or cease to be equal.
+        self.at = sorted({0} | {n + 1 for n in cuts} | {max(0, window - n) for n in ends})
+        valid = [(max(0, window - r), x) for x, r in zip(left, right)]
+        self.rows = [i for i, (x, y) in enumerate(valid) if x <= y]
+        self.used = [o for o in self.at if any(valid[i][0] <= o <= valid[i][1] for i in self.rows)]
+        place = {o: i for i, o in enumerate(self.used)}
+        self.span = {i: (min(own), max(own)) for i in self.rows if (own := [place[o] for o in self.used if valid[i][0] <= o <= valid[i][1]])}
+
+    def symbols(self, i: int) -> list[tuple[int, bytes]]:
+        """String i as cells ``(which, bytes)`` from its first window to the end of its last."""
+        (a, c), (low, high), u, w = self.strings[i], self.span[i], self.used, self.window
+        m = len(u) - 1
+        before = [(m - k, c[a - u[k] : a - (u[k - 1] if k else 0)]) for k in range(high, -1, -1)]
+        return before + [(2 * m + 1 - k, c[a + (w - u[k + 1] if k < m else 0) : a + w - u[k]]) for k in range(m, low - 1, -1)]
+
+    def starts(self, k: int) -> range:
+        """The windows that the k-th stands for, by their bytes before the anchor."""
+        o = self.used[k]
+        return range(o, min((x for x in self.at if x > o), default=o + 1))
+
+
+def equal_windows(groups: list[_Group]) -> list[tuple[int, int, list[int]]]:
+    """Classes of equal windows, ``(group, window, strings)``, of all groups by one suffix array; those of one string too."""
+    cells: dict[tuple[int, int, bytes], int] = {}
+    texts: list[tuple[int, int, list[tuple[int, int, bytes]]]] = []
+    for g, group in enumerate(groups):
+        for i in group.span:
+            text = [(g, which, part) for which, part in group.symbols(i)]
+            texts.append((g, i, text))
+            cells.update(dict.fromkeys(text))
+    # Symbols are ranked by group, place and bytes; 1 ends a string, 0 all.
+    for n, cell in enumerate(sorted(cells)):
+        cells[cell] = n + 2
+    symbols: list[int] = []
+    owner: dict[int, tuple[int, int, int]] = {}
+    for g, i, text in texts:
+        low, high = groups[g].span[i]
+        owner |= {len(symbols) + high - k: (g, i, k) for k in range(low, high + 1)}
+        symbols += [cells[cell] for cell in text]
+        symbols.append(1)
+    symbols.append(0)
+    out: list[tuple[int, int, list[int]]] = []
+    last: list[int] | None = None
+    for s in suffix_array(symbols):
+        if s not in owner:
+            continue
+        g, i, k = owner[s]
+        own = symbols[s : s + len(groups[g].used) + 1]
+        if own == last:
+            out[-1][2].append(i)
+        else:
+            out.append((g, k, [i]))
+        last = own
+    return out
+
+
+def _signed(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+_STRINGS = "fp long, common long, p1 long, p2 long, single boolean, first int, anchor int, content binary"
+
+
 def _families(units: Units):
-    """Cuttings of contested pieces around FAMILY neighbouring windows: where they lie, a digest, and a key from the bytes all these windows share."""
+    """Cuttings of pieces around FAMILY neighbouring windows, with a key from the bytes that all these windows share and a digest of the whole."""
 
     def run(batches):
         for b in pieces(batches, 1000):
@@ -107,78 +214,80 @@ def _families(units: Units):
                     first, last = anchor - min(FAMILY * f + FAMILY - 1, anchor), anchor - max(FAMILY * f, least)
                     at = anchor - FAMILY * f
                     common = xxhash.xxh3_64_intdigest(c[at : at + units.window - FAMILY + 1], f) >> 1
-                    digest = xxhash.xxh3_64_intdigest(c[first : last + units.window], anchor - first) >> 1
-                    out.append((fp, common, digest, p1, p2, n == 1, first, last - first + 1))
+                    cut = c[first : last + units.window]
+                    out.append((fp, common, p1, p2, n == 1, first, anchor - first, cut, *_signed(xxhash.xxh3_128_digest(cut, anchor - first))))
             if out:
-                kinds = (*(pa.int64(),) * 5, pa.bool_(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["fp", "common", "digest", "p1", "p2", "single", "first", "windows"])
+                kinds = (*(pa.int64(),) * 4, pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], [*(c.split()[0] for c in _STRINGS.split(", ")), "d1", "d2"])
 
     return run
 
 
-_CUTTINGS = "fp long, common long, p1 long, p2 long, single boolean, first int, rows long, bytes binary"
-
-
-def _cuttings(units: Units):
-    """The bytes of the cuttings listed with each piece."""
-
-    def run(batches):
-        for b in pieces(batches, 1000):
-            out: list[tuple] = []
-            for fp, p1, p2, c, cuts in zip(*(b.column(k).to_pylist() for k in ("fp", "p1", "p2", "content", "cuts"))):
-                for x in cuts:
-                    out.append((fp, x["common"], p1, p2, x["single"], x["first"], x["rows"], c[x["first"] : x["first"] + x["windows"] - 1 + units.window]))
-            if out:
-                kinds = (*(pa.int64(),) * 4, pa.bool_(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["fp", "common", "p1", "p2", "single", "first", "rows", "bytes"])
-
-    return run
-
-
-def equal_windows(parts: list[bytes], window: int) -> list[tuple[int, int]]:
-    """Part and start of every window that also starts elsewhere among the parts."""
-    symbols: list[int] = []
-    begins: list[int] = []
-    for x in parts:
-        begins.append(len(symbols))
-        symbols.extend(c + 2 for c in x)
-        symbols.append(1)
-    whole = b"\0".join(parts)
-    owner = {at + k: (i, k) for i, (at, x) in enumerate(zip(begins, parts)) for k in range(len(x) - window + 1)}
-    out, before, text_before = set(), None, None
-    for s in suffix_array([*symbols, 0]):
-        if s in owner:
-            text = whole[s : s + window]
-            if text == text_before:
-                out |= {owner[before], owner[s]}
-            before, text_before = s, text
-    return sorted(out)
+_ORDERED = "fp long, p1 long, p2 long, r long, h1 long, h2 long, single boolean"
 
 
 def _sorted(window: int):
+    """Strings of whole groups -> ranges of windows that repeat; of spread groups also each class of windows with a digest."""
+
     def run(table):
-        t = table.sort_by([("fp", "ascending"), ("common", "ascending"), ("p1", "ascending"), ("p2", "ascending"), ("first", "ascending")])
-        cols = {k: t.column(k).to_pylist() for k in ("fp", "p1", "p2", "single", "first", "bytes")}
-        rows = [(cols["fp"][i], cols["p1"][i], cols["p2"][i], cols["first"][i] + k) for i, k in equal_windows(cols["bytes"], window) if cols["single"][i]]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else ((),) * 4, kinds)], names=["fp", "p1", "p2", "k"])
+        t = table.sort_by([(c, "ascending") for c in ("fp", "common", "chunk", "p1", "p2", "first")])
+        fp, common, chunk, p1, p2, single, spread, first, anchor, content = (t.column(c).to_pylist() for c in ("fp", "common", "chunk", "p1", "p2", "single", "spread", "first", "anchor", "content"))
+        keys = list(zip(fp, common, chunk))
+        begins = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+        groups = [_Group(list(zip(anchor[a:z], content[a:z])), window, spread[a]) for a, z in zip(begins, [*begins[1:], len(keys)])]
+        out: list[tuple] = []
+        for g, k, members in equal_windows(groups):
+            rows = [begins[g] + i for i in members]
+            starts = groups[g].starts(k)
+            if len(rows) > 1:
+                out += [(fp[x], p1[x], p2[x], (first[x] + anchor[x] - starts[-1]) << 32 | first[x] + anchor[x] - starts[0], None, None, True) for x in rows if single[x]]
+            if spread[rows[0]]:
+                x = rows[0]
+                for o in starts:
+                    at = anchor[x] - o
+                    out.append((fp[x], p1[x], p2[x], (first[x] + at) << 32 | first[x] + at, *_signed(xxhash.xxh3_128_digest(content[x][at : at + window])), len(rows) == 1 and single[x]))
+        kinds = (*(pa.int64(),) * 6, pa.bool_())
+        return pa.table([pa.array(x, kind) for x, kind in zip(zip(*out) if out else ((),) * 7, kinds)], names=[c.split()[0] for c in _ORDERED.split(", ")])
 
     return run
 
 
-def _digests(window: int):
-    def run(batches):
-        for b in pieces(batches, 2000):
-            out = []
-            for fp, p1, p2, single, first, x in zip(*(b.column(k).to_pylist() for k in ("fp", "p1", "p2", "single", "first", "bytes"))):
-                for k in range(len(x) - window + 1):
-                    d = xxhash.xxh3_128_digest(x[k : k + window])
-                    out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), fp, p1, p2, first + k, single))
-            if out:
-                kinds = (pa.int64(),) * 5 + (pa.int32(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["h1", "h2", "fp", "p1", "p2", "k", "single"])
+def _hot(content: DataFrame, units: Units, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Strings of families, equal ones once, for the suffix arrays; and ranges of cuttings that occur in several pieces."""
+    family = scratch.save(content.mapInArrow(_families(units), f"{_STRINGS}, d1 long, d2 long"), "families")
+    # Equal cuttings of different pieces repeat in whole and go to the suffix arrays once.
+    one = F.min(F.struct("p1", "p2", "first", "single", "anchor")).alias("one")
+    same = scratch.save(family.groupBy("fp", "common", "d1", "d2").agg(F.count("*").alias("c"), one), "cuttings")
+    alone = (F.col("c") == 1) & F.col("one.single")
+    sizes = scratch.save(same.groupBy("fp", "common").agg(F.count("*").alias("n"), F.max(alone).alias("any")).where("n > 1 and any"), "sizes")
+    reps = same.join(sizes, ["fp", "common"]).select("fp", "common", "n", "one.p1", "one.p2", "one.first", alone.alias("alone"))
+    strings = family.drop("single").join(reps, ["fp", "common", "p1", "p2", "first"]).withColumnRenamed("alone", "single")
+    twice = scratch.save(same.where("c > 1").select("fp", "common", "d1", "d2"), "twice")
+    copied = family.where("single").join(twice, ["fp", "common", "d1", "d2"], "left_semi")
+    return strings, copied.select("fp", "p1", "p2", F.expr(f"shiftleft(cast(first as bigint), 32) + first + octet_length(content) - {units.window}").alias("r"))
 
-    return run
+
+def _repeats(content: DataFrame, units: Units, scratch: Scratch) -> DataFrame:
+    """Window ranges that repeat in contested pieces that occur once: ``fp, p1, p2, r``."""
+    hot = scratch.save(content.groupBy("fp").agg(F.count("*").alias("k")).where(F.col("k") > ARRAY_ROWS).select("fp"), "hot")
+    whole = (F.lit(0).cast("long").alias("common"), F.lit(0).cast("long").alias("chunk"), F.lit(False).alias("spread"))
+    strings = content.join(hot, "fp", "left_anti").select("fp", *whole, "p1", "p2", (F.col("n") == 1).alias("single"), F.lit(0).alias("first"), "anchor", "content")
+    copied = None
+    if not hot.isEmpty():
+        cut, copied = _hot(content.join(hot, "fp", "left_semi"), units, scratch)
+        parts = F.ceil(F.col("n") / ARRAY_ROWS)
+        chunk = F.pmod(F.xxhash64("p1", "p2", "first"), parts)
+        strings = strings.unionByName(cut.select("fp", "common", chunk.alias("chunk"), (parts > 1).alias("spread"), "p1", "p2", "single", "first", "anchor", "content"))
+    size = content.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    arrays, tasks = max(1, -(-size // ARRAY_BYTES)), max(1, -(-size // TASK_BYTES))
+    dealt = strings.withColumn("array", F.pmod(F.xxhash64("fp", "common", "chunk"), F.lit(arrays))).repartition(tasks, "array")
+    ordered = scratch.save(dealt.groupBy("array").applyInArrow(_sorted(units.window), _ORDERED), "ordered")
+    out = ordered.where("h1 is null").select("fp", "p1", "p2", "r")
+    if copied is not None:
+        twice = scratch.save(ordered.where("h1 is not null").groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2"), "merged")
+        met = ordered.where("h1 is not null and single").join(twice, ["h1", "h2"], "left_semi").select("fp", "p1", "p2", "r")
+        out = out.unionByName(copied).unionByName(met)
+    return out
 
 
 def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -187,34 +296,19 @@ def without_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Every byte under a string of ``window`` bytes that also starts anywhere else in the table, the same document
     included, is removed; strings are judged on the input and never cross documents. Null and empty texts have no bytes;
     texts shorter than a window are never touched; long ones are read whole. Rows equal in id and text are separate
-    documents that repeat each other. An empty table gives no rows; further columns are ignored.
+    documents that repeat each other; null ids are ids. An empty table gives no rows; further columns are ignored.
     """
     scratch, units = Scratch(docs.sparkSession, "suffixes"), Units(window, seed, False)
-    docs = keyed(narrowed(docs, doc_id=id_col, text=text_col))
+    docs = numbered(narrowed(docs, doc_id=id_col, text=text_col), scratch)
     posts = scratch.save(posted(docs, units), "posts")
-    hits = posts.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    repeated = posts.join(hits, "fp", "left_semi").groupBy("rid").agg(F.collect_set("pos").alias("places"))
-    parts = scratch.save(cut(docs, repeated, units), "pieces")
+    hits = scratch.save(posts.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "hits")
+    found = scratch.save(repeated(posts, hits), "found")
     scratch.drop(posts)
-    kinds, content = contested(parts, scratch)
-    family = scratch.save(content.mapInArrow(_families(units), "fp long, common long, digest long, p1 long, p2 long, single boolean, first int, windows int"), "families")
-    # Equal cuttings of different pieces repeat in whole and go to the suffix arrays once.
-    same = scratch.save(family.groupBy("fp", "common", "digest").agg(F.count("*").alias("c"), F.min(F.struct("p1", "p2", "first", "windows", "single")).alias("one")), "cuttings")
-    alone = (F.col("c") == 1) & F.col("one.single")
-    meet = same.groupBy("fp", "common").agg(F.count("*").alias("rows"), F.max(alone).alias("any")).where("rows > 1 and any").select("fp", "common", "rows")
-    listed = same.join(meet, ["fp", "common"]).select("fp", "one.p1", "one.p2", F.struct("common", "one.first", "one.windows", "rows", alone.alias("single")).alias("cut"))
-    listed = listed.groupBy("fp", "p1", "p2").agg(F.collect_list("cut").alias("cuts"))
-    several = scratch.save(content.join(listed, ["fp", "p1", "p2"]).select("fp", "p1", "p2", "content", "cuts").mapInArrow(_cuttings(units), _CUTTINGS), "several")
-    usual, hot = several.where(F.col("rows") <= HOT_ROWS), several.where(F.col("rows") > HOT_ROWS)
-    copied = family.where("single").join(same.where("c > 1").select("fp", "common", "digest"), ["fp", "common", "digest"], "left_semi")
-    copied = copied.select("fp", "p1", "p2", F.explode(F.expr("sequence(first, first + windows - 1)")).alias("k"))
-    arrays = max(1, -(-several.count() // ARRAY_ROWS))
-    ordered = usual.withColumn("array", F.pmod(F.xxhash64("fp", "common"), F.lit(arrays))).groupBy("array").applyInArrow(_sorted(window), "fp long, p1 long, p2 long, k int")
-    digests = hot.mapInArrow(_digests(window), "h1 long, h2 long, fp long, p1 long, p2 long, k int, single boolean")
-    twice = digests.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    counted = digests.where("single").join(twice, ["h1", "h2"], "left_semi").select("fp", "p1", "p2", "k")
-    single = ordered.unionByName(counted).unionByName(copied).groupBy("fp", "p1", "p2").agg(F.collect_set("k").alias("ks"))
-    return removed(docs, joined_starts(parts, kinds, single, scratch), units, docs.schema["doc_id"].dataType.simpleString())
+    parts = scratch.save(digested(docs, found, units), "pieces")
+    scratch.drop(found)
+    kinds, content = contested(docs, parts, units, scratch)
+    single = _repeats(content, units, scratch).groupBy("fp", "p1", "p2").agg(F.collect_list("r").alias("rs"))
+    return removed(docs, ranges(parts, kinds, single, scratch), units, docs.schema["doc_id"].dataType.simpleString())
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,9 +65,9 @@ def test_substrings(spark, seed):
         assert (got[i].n_units, got[i].n_removed, got[i].kept_sha256) == (len(u), gone.sum(), hashlib.sha256(kept).hexdigest()), i
 
 
-@pytest.mark.parametrize("seed, hot", [(3, 4000), (4, 2)])
-def test_bytes(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
+@pytest.mark.parametrize("seed, rows", [(3, 2000), (4, 2), (5, 1)])
+def test_bytes(spark, monkeypatch, seed, rows):
+    monkeypatch.setattr(suffix_dedup, "ARRAY_ROWS", rows)
     texts = passages(seed)
     got = {r.doc_id: r for r in without_repeated_bytes(docs_of(spark, texts)).collect()}
     for i, (u, gone) in enumerate(windows([(t or "").encode() for t in texts], 200, bytes)):
@@ -83,11 +83,27 @@ def test_suffix_array():
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_fingerprint_log(spark):
-    log = FingerprintLog(Scratch(spark, "log"))
-    batches = [[1, 2, 2], [3, 1], [4], [5, 3], [5, 9]]
-    got = [sorted(r.fp for r in log.ingest(spark.createDataFrame([(x,) for x in b], "fp long")).collect()) for b in batches]
-    assert got == [[2], [1], [], [3], [5]] and len(log.runs) == 2
+def test_fingerprint_log(spark, tmp_path):
+    scratch, folder = Scratch(spark, "log"), f"file://{tmp_path}/log"
+    batches = [[1, 2, 2], [3, 1], [4], [5, 3, None], [5, 9]]
+    got = []
+    for b in batches:
+        # Opened anew for each batch, as by a later job.
+        log = FingerprintLog(spark, folder, buckets=3)
+        got.append(sorted(r.fp for r in log.ingest(spark.createDataFrame([(x,) for x in b], "fp long"), scratch).collect()))
+    assert got == [[2], [1], [], [3], [5]] and [r[:2] for r in log.runs] == [(0, 4)]
+    assert sorted((r.fp, r.n) for r in spark.table(log.runs[0][2]).collect()) == [(1, 2), (2, 2), (3, 2), (4, 1), (5, 2), (9, 1)]
+    log.forget()
+    assert not (tmp_path / "log").exists()
+
+
+def test_runs_are_merged_without_moving_or_sorting_them(spark, tmp_path):
+    scratch, log = Scratch(spark, "log"), FingerprintLog(spark, f"file://{tmp_path}/log", buckets=4)
+    for k in range(2):
+        log.ingest(spark.range(1000 * k, 1000 * k + 1500).select(F.col("id").alias("fp")), scratch)
+    with log._in_order():
+        plan = log.shared()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
 
 
 def test_lines(spark):
