@@ -9,6 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
+from millrace import queries_whole
 from millrace import queries
 
 NAMES = [

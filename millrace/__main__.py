@@ -6,7 +6,7 @@ import argparse
 import sys
 from pathlib import Path
 
-from .operators.detection import list_formats
+from .operators.detection import BUILTIN, REGISTERED, list_formats
 from .plans.options import Config, SiftOptions, apply_config, dedupe_window, discover, merge, parse_config
 
 VERSION = "0.1.0"
@@ -18,7 +18,7 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     for name in ("run", "detect", "explain"):
         p = sub.add_parser(name)
-        p.add_argument("files", nargs="+", help="[FORMAT] FILE...; several files are read as one log")
+        p.add_argument("files", nargs="*", help="[FORMAT] [FILE...]; several files are read as one log, none or - is standard input")
         p.add_argument("--auto", action="store_true")
         p.add_argument("--strip-envelope", dest="envelope")
         p.add_argument("--severity")
@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--max-events", type=int)
         p.add_argument("--budget", type=int)
         p.add_argument("--tokenizer")
+        p.add_argument("--vocabulary", help="file of ranks for the exact tokenizer")
         p.add_argument("--dedupe", action="store_true")
         p.add_argument("--no-dedupe", action="store_true")
         p.add_argument("--dedupe-window", dest="window", type=int, default=-1)
@@ -46,11 +47,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def options_of(args: argparse.Namespace, config: Config) -> tuple[SiftOptions, list[str]]:
-    names = ("envelope", "severity", "keep_warnings", "keep_vendor", "context", "max_events", "budget", "tokenizer", "output", "footer", "strict", "passthrough")
+    names = ("envelope", "severity", "keep_warnings", "keep_vendor", "context", "max_events", "budget", "tokenizer", "vocabulary", "output", "footer", "strict", "passthrough")
     given = {n: getattr(args, n) for n in names if getattr(args, n) is not None}
     files = list(args.files)
-    known = {"gotest", "gotestsum", "pytest", "jest", "generic", "auto", *(f.id for f in config.custom)}
-    fmt = files.pop(0) if files[0] in known and not args.auto else "auto"
+    known = {"auto", *BUILTIN, *REGISTERED, *(f.id for f in config.custom)}
+    fmt = files.pop(0) if files and files[0] in known and not args.auto else "auto"
     if args.dedupe or args.no_dedupe or args.window >= 0:
         given["dedupe_window"] = dedupe_window(args.dedupe, args.no_dedupe, args.window)
     if args.output_streaming and given.get("output") == "json":
@@ -76,25 +77,32 @@ def main(argv: list[str]) -> int:
         return 0
     from pyspark.sql import SparkSession
 
-    from .plans.engine import detect_report, sift
-    from .sources.logs import lines_of, read_concatenated, read_logs
+    from .plans.engine import detect_report, report_lines, sift_logs
+    from .sources.logs import lines_of, read_concatenated, read_logs, read_stdin
 
     spark = SparkSession.builder.appName("millrace").getOrCreate()
-    logs = read_logs(spark, *files) if len(files) == 1 else read_concatenated(spark, *files)
-    lines = lines_of(logs)
+    if files in ([], ["-"]):
+        logs = read_stdin(spark, sys.stdin.buffer)
+    else:
+        logs = read_logs(spark, *files) if len(files) == 1 else read_concatenated(spark, *files)
     if args.command == "detect":
         code = 0
-        for row in detect_report(lines, options).toLocalIterator():
+        for row in detect_report(lines_of(logs), options).toLocalIterator():
             code = max(code, row.exit_code)
-            print("\n".join(f"{k}: {v}" for k, v in row.asDict().items() if k not in ("log_id", "exit_code")))
+            print("\n".join(report_lines(row)))
         return code
-    result = sift(lines, options)
+    result = sift_logs(logs, options)
+    if args.verbose:
+        for row in result.logs.toLocalIterator():
+            print(f"envelope: {row.envelope}\nformat: {row.format}\ntokenizer: {options.tokenizer}", file=sys.stderr)
     if args.command == "explain" or args.explain:
         for row in result.explain().orderBy("log_id", "part", "seq").toLocalIterator():
             print(row.line)
         return 0
-    for row in result.render().toLocalIterator():
-        sys.stdout.write(row.text)
+    sys.stdout.flush()
+    for row in result.render().selectExpr("cast(text as binary) as text").toLocalIterator():
+        sys.stdout.buffer.write(row.text)
+    sys.stdout.buffer.flush()
     return max((row.exit_code for row in result.summary.select("exit_code").toLocalIterator()), default=1)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,30 @@ from .formats.custom import CustomFormat
 BUILTIN = {"generic": generic, "gotest": gotest, "gotestsum": gotestsum, "jest": jest, "pytest": pytest}
 
 
+@dataclass(frozen=True)
+class Format:
+    """A format that a program adds: how sure it is of a sample, its blocks of lines, and their events (by default as those of custom formats)."""
+
+    name: str
+    score: Callable[[Column], Column]
+    parse: Callable[[DataFrame], DataFrame]
+    project: Callable[[DataFrame], DataFrame] | None = None
+
+
+REGISTERED: dict[str, Format] = {}
+
+
+def register_format(fmt: Format) -> None:
+    """Makes a format known to detection, parsing and listing. Names are unique."""
+    if not fmt.name.strip() or fmt.name in BUILTIN or fmt.name in REGISTERED or fmt.name == "auto":
+        raise ValueError(f"format name {fmt.name!r} is empty or taken")
+    REGISTERED[fmt.name] = fmt
+
+
+def unregister_format(name: str) -> None:
+    REGISTERED.pop(name, None)
+
+
 class DetectError(ValueError):
     """No format is sure enough, and strict detection was asked for."""
 
@@ -50,7 +77,7 @@ def ranked(found: dict[str, Column]) -> Column:
 
 def detect(samples: DataFrame, formats: list[CustomFormat] = (), strict: bool = False) -> DataFrame:
     """``log_id, sample`` -> ``log_id, format, confidence, fellback_to_generic, runner_up, runner_up_confidence, sample_bytes``."""
-    found = scores(F.col("sample")) | {f.id: f.detect(F.col("sample")) for f in formats}
+    found = scores(F.col("sample")) | {f.name: f.score(F.col("sample")).cast("double") for f in REGISTERED.values()} | {f.id: f.detect(F.col("sample")) for f in formats}
     out = samples.withColumn("r", ranked(found))
     best, second = F.element_at("r", 1), F.element_at("r", 2)
     sure = -best["s"] >= P.LEAST_CONFIDENCE
@@ -67,4 +94,4 @@ def detect(samples: DataFrame, formats: list[CustomFormat] = (), strict: bool =
 
 def list_formats(formats: list[CustomFormat] = ()) -> list[str]:
     """Lines ``name, version, origin`` in order of name."""
-    return [f"{n}\t1\tbuiltin" for n in sorted([*BUILTIN, *(f.id for f in formats)])]
+    return [f"{n}\t1\tbuiltin" for n in sorted([*BUILTIN, *REGISTERED, *(f.id for f in formats)])]

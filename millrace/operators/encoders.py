@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.text import severity_label
 
@@ -67,14 +63,18 @@ def _ends(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def _shown() -> Column:
+    """Lines of output before the footer; what stands in for missing events isn't counted."""
+    return F.when(F.col("parts").isNull(), F.lit(0)).otherwise(_ends(F.col("body")))
+
+
 def text(events: DataFrame, summary: DataFrame, footer: bool = True) -> DataFrame:
     """``log_id, text``, one row per log in ``summary``."""
     body = F.when(F.col("parts").isNull(), F.lit("no events found\n")).otherwise(_cat("events from ", F.col("format"), "\n\n", F.col("parts")))
     out = summary.join(_joined(events, event_text()), "log_id", "left").withColumn("body", body)
     shown = F.when(F.col("input_lines") > 0, count_text(F.col("input_lines"))).otherwise("?")
-    # The line that starts the footer counts as output.
     end = _cat(
-        "---\ndistilled ", shown, " lines → ", count_text(_ends(F.col("body")) + 0), " lines (", count_text(F.col("estimated_tokens")), " tokens, ", F.col("estimator"), ")\ndropped: ",
+        "---\ndistilled ", shown, " lines → ", count_text(_shown()), " lines (", count_text(F.col("estimated_tokens")), " tokens, ", F.col("estimator"), ")\ndropped: ",
         count_text(F.col("events_dropped_budget")), " events, ", count_text(F.col("events_truncated")), " truncated, ", count_text(F.col("events_deduped")), " deduped, ", count_text(F.col("frames_collapsed")), " vendor frames\n",
     )
     return out.select("log_id", (F.concat("body", end) if footer else F.col("body")).alias("text"))
@@ -85,7 +85,7 @@ def markdown(events: DataFrame, summary: DataFrame, footer: bool = True, fence:
     out = summary.join(_joined(events, event_markdown(fence)), "log_id", "left").withColumn("body", body)
     shown = F.when(F.col("input_lines") > 0, count_text(F.col("input_lines"))).otherwise("?")
     end = _cat(
-        "---\n\n- **Lines distilled:** ", shown, " → ", count_text(_ends(F.col("body"))), "\n- **Events emitted:** ", count_text(F.col("events_emitted")), "\n- **Events dropped:** ", count_text(F.col("events_dropped_budget")),
+        "---\n\n- **Lines distilled:** ", shown, " → ", count_text(_shown()), "\n- **Events emitted:** ", count_text(F.col("events_emitted")), "\n- **Events dropped:** ", count_text(F.col("events_dropped_budget")),
         "\n- **Events truncated:** ", count_text(F.col("events_truncated")), "\n- **Events deduped:** ", count_text(F.col("events_deduped")), "\n- **Vendor frames removed:** ", count_text(F.col("frames_collapsed")),
         "\n- **Estimated tokens:** ", count_text(F.col("estimated_tokens")), " (", F.col("estimator"), ")\n",
     )
@@ -98,52 +98,67 @@ def _quoted(value: Column) -> Column:
     return F.substring(inside, F.lit(2), F.length(inside) - 2)
 
 
-def _array(parts: Column) -> Column:
-    return _cat("[", F.array_join(parts, ","), "]")
-
-
-def event_json() -> Column:
-    """An event as a compact JSON object; location is null where there is none, empty context, frames and metadata are left out."""
-    column = F.coalesce(F.col("location.column").cast("string"), F.lit("null"))
-    place = F.when(F.col("location").isNull(), F.lit("null")).otherwise(_cat('{"file":', _quoted(F.col("location.file")), ',"line":', F.col("location.line").cast("string"), ',"column":', column, "}"))
-    frames = F.transform("frames", lambda f: _cat(
-        '{"file":', _quoted(f["file"]), ',"line":', f["line"].cast("string"), _if(F.coalesce(f["function"], F.lit("")) != "", _cat(',"function":', _quoted(f["function"]))), ',"vendor":', f["vendor"].cast("string"), "}"
-    ))
-    meta = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: _cat(_quoted(e["key"]), ":", _quoted(e["value"])))
-    return _cat(
-        '{"severity":', _quoted(F.col("severity")), ',"kind":', _quoted(F.col("kind")), ',"title":', _quoted(F.col("title")), ',"location":', place, ',"body":', _array(F.transform("body", _quoted)),
-        _if(F.size("context") > 0, _cat(',"context":', _array(F.transform("context", _quoted)))), _if(F.size("frames") > 0, _cat(',"frames":', _array(frames))),
-        ',"frames_collapsed":', F.col("frames_collapsed").cast("string"), ',"count":', F.col("count").cast("string"), ',"truncated":', F.col("truncated").cast("string"),
-        _if(F.size(F.coalesce(F.map_keys("metadata"), F.array())) > 0, _cat(',"metadata":{', F.array_join(meta, ","), "}")), "}",
-    )
+def _array(parts: Column, pad: str | None = None) -> Column:
+    """A JSON array; with ``pad`` one element a line, two blanks beyond ``pad``."""
+    if pad is None:
+        return _cat("[", F.array_join(parts, ","), "]")
+    inner = f"\n{pad}  "
+    return F.when(F.size(parts) == 0, F.lit("[]")).otherwise(_cat("[", inner, F.array_join(parts, f",{inner}"), f"\n{pad}]"))
+
+
+def _object(fields: list[tuple[str, Column] | tuple[str, Column, Column]], pad: str | None = None) -> Column:
+    """A JSON object of ``(name, value)`` or ``(name, value, whether it is there)``."""
+    colon = ":" if pad is None else ": "
+    each = [F.when(f[2] if len(f) > 2 else F.lit(True), _cat(f'"{f[0]}"{colon}', f[1])) for f in fields]
+    return _braces(F.filter(F.array(*each), lambda x: x.isNotNull()), pad)
+
+
+def _braces(parts: Column, pad: str | None) -> Column:
+    if pad is None:
+        return _cat("{", F.array_join(parts, ","), "}")
+    inner = f"\n{pad}  "
+    return _cat("{", inner, F.array_join(parts, f",{inner}"), f"\n{pad}}}")
+
+
+def event_json(pad: str | None = None) -> Column:
+    """An event as a JSON object, compact or indented; location is null where there is none, empty context, frames and metadata are left out."""
+    deep = None if pad is None else pad + "  "
+    deeper = None if pad is None else pad + "    "
+    number = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    at = F.col("location")
+    place = F.when(at.isNull(), F.lit("null")).otherwise(_object([("file", _quoted(at["file"])), ("line", number(at["line"])), ("column", number(at["column"]))], deep))
+    frames = F.transform("frames", lambda f: _object([
+        ("file", _quoted(f["file"])), ("line", number(f["line"])), ("function", _quoted(f["function"]), F.coalesce(f["function"], F.lit("")) != ""), ("vendor", f["vendor"].cast("string"))
+    ], deeper))
+    colon = ":" if pad is None else ": "
+    meta = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: _cat(_quoted(e["key"]), colon, _quoted(e["value"])))
+    return _object([
+        ("severity", _quoted(F.col("severity"))), ("kind", _quoted(F.col("kind"))), ("title", _quoted(F.col("title"))), ("location", place), ("body", _array(F.transform("body", _quoted), deep)),
+        ("context", _array(F.transform("context", _quoted), deep), F.size("context") > 0), ("frames", _array(frames, deep), F.size("frames") > 0),
+        ("frames_collapsed", number(F.col("frames_collapsed"))), ("count", number(F.col("count"))), ("truncated", F.col("truncated").cast("string")),
+        ("metadata", _braces(meta, deep), F.size(F.coalesce(F.map_keys("metadata"), F.array())) > 0),
+    ], pad)
 
 
 SUMMARY_FIELDS = ("input_lines", "output_lines", "events_found", "events_emitted", "events_deduped", "events_dropped_budget", "events_truncated", "frames_collapsed", "estimated_tokens", "estimator", "exit_code")
 
 
-def summary_json(output_lines: Column) -> Column:
-    parts = []
-    for name in SUMMARY_FIELDS:
-        value = output_lines if name == "output_lines" else F.col(name)
-        parts.append(_cat(f'"{name}":', _quoted(value) if name == "estimator" else value.cast("string")))
-    return _cat("{", F.array_join(F.array(*parts), ","), "}")
+def summary_json(output_lines: Column, pad: str | None = None) -> Column:
+    return _object([(n, output_lines if n == "output_lines" else _quoted(F.col(n)) if n == "estimator" else F.col(n).cast("string")) for n in SUMMARY_FIELDS], pad)
 
 
 def _head(fmt: Column) -> Column:
     return _cat(f'{{"schema_version":{SCHEMA_VERSION},"format":', _quoted(fmt))
 
 
-@F.pandas_udf(StringType())
-def _indented(compact: pd.Series) -> pd.Series:
-    return compact.map(lambda x: json.dumps(json.loads(x), indent=2, ensure_ascii=False) + "\n")
-
-
 def json_batch(events: DataFrame, summary: DataFrame) -> DataFrame:
     """One indented object per log with all its events and its summary, whose ``output_lines`` is 0."""
-    each = events.select("log_id", "seq", event_json().alias("e"))
+    each = events.select("log_id", "seq", event_json("    ").alias("e"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "e"))), lambda x: x["e"])
-    out = summary.join(each.groupBy("log_id").agg(F.array_join(ordered, ",").alias("es")), "log_id", "left")
-    return out.select("log_id", _indented(_cat(_head(F.col("format")), ',"events":[', F.coalesce("es", F.lit("")), '],"summary":', summary_json(F.lit(0)), "}")).alias("text"))
+    out = summary.join(each.groupBy("log_id").agg(ordered.alias("es")), "log_id", "left")
+    listed = _array(F.coalesce("es", F.array().cast("array<string>")), "  ")
+    whole = _object([("schema_version", F.lit(str(SCHEMA_VERSION))), ("format", _quoted(F.col("format"))), ("events", listed), ("summary", summary_json(F.lit("0"), "  "))], "")
+    return out.select("log_id", F.concat(whole, F.lit("\n")).alias("text"))
 
 
 def ndjson(events: DataFrame, summary: DataFrame) -> DataFrame:

@@ -84,25 +84,49 @@ def _cleaned(lines: Column, stage: Column) -> Column:
     return F.transform(F.filter(on, lambda r: r["command"].isNull()), lambda r: r["line"])
 
 
+def inner_sizes(sample_bytes: int = P.SAMPLE_BYTES) -> list[int]:
+    """Sizes of the samples that an inner round tries one after the other: the first, then steps more, the most at last."""
+    return [*range(sample_bytes, P.SAMPLE_MOST, P.SAMPLE_STEP), P.SAMPLE_MOST]
+
+
+#: Bytes of a log that are read to tell its wrappers, at first.
+FIRST_READ = 4 * P.SAMPLE_MOST
+
+
+def _claimed(text: Column, used: Column, sizes: list[int]) -> Column:
+    """The stripper that claims a text by its first bytes: of the sizes, one after the other up to the whole text, the first by which anyone does."""
+    own = F.filter(F.array(*(F.struct(F.lit(before).alias("before"), F.lit(size).alias("size")) for before, size in zip([-1, *sizes], sizes))), lambda x: F.octet_length(text) > x["before"])
+    sure = F.filter(F.transform(own, lambda x: best(prefix(text, x["size"]), used)), lambda x: -x["s"] >= P.LEAST_CONFIDENCE)
+    return F.try_element_at(sure, F.lit(1))["name"]
+
+
 def chains(lines: DataFrame, sample_bytes: int = P.SAMPLE_BYTES) -> DataFrame:
     """``log_id, chain``: the strippers that claim a log, the outermost first, each at most once.
 
     The outermost is told from the first ``sample_bytes``; inner ones from up to 256 KiB of what the outer ones leave,
-    in steps of 64 KiB, out of the log's first MiB. One row per log is held; the lines themselves aren't read twice.
+    in growing samples. The first MiB of wrapped logs is read for that, one row per log; logs whose wrappers drop so much
+    of it that less than 256 KiB are left are read again, sixteen times as far each time, until there is enough or all is read.
     """
-    out = samples(lines, 4 * P.SAMPLE_MOST).select("log_id", F.col("sample").alias("text"), F.array().cast("array<string>").alias("chain"))
-    for depth in range(len(NAMES)):
-        sizes = [sample_bytes] if depth == 0 else range(P.SAMPLE_STEP, P.SAMPLE_MOST + 1, P.SAMPLE_STEP)
-        # A log that nobody claims stays as it is in the rounds that follow. Each step is a column of its own, so that it is made once.
-        live = F.lit(True) if depth == 0 else F.size("chain") == depth
-        out = out.withColumn("now", F.lit(None).cast("string"))
-        for k, size in enumerate(sizes):
-            fresh = live & F.col("now").isNull() & (F.lit(True) if k == 0 else F.octet_length("text") > size - P.SAMPLE_STEP)
-            out = out.withColumn("head", F.when(fresh, prefix(F.col("text"), size)))
-            out = out.withColumn("best", F.when(F.col("head").isNotNull(), best(F.col("head"), F.col("chain"))))
-            out = out.withColumn("now", F.coalesce("now", F.when(-F.col("best.s") >= P.LEAST_CONFIDENCE, F.col("best.name"))))
-        out = out.select("log_id", F.when(F.col("now").isNull(), F.col("text")).otherwise(F.array_join(_cleaned(F.split("text", "\n", -1), F.col("now")), "\n")).alias("text"), F.when(F.col("now").isNull(), F.col("chain")).otherwise(F.array_append("chain", F.col("now"))).alias("chain"))
-    return out.select("log_id", "chain")
+    none = F.array().cast("array<string>")
+    first = written(samples(lines, sample_bytes).select("log_id", _claimed(F.col("sample"), none, [sample_bytes]).alias("now")))
+    out = first.select("log_id", none.alias("chain")).where("now is null")
+    wrapped, read = first.where("now is not null"), FIRST_READ
+    while not wrapped.isEmpty():
+        head = samples(lines.join(wrapped, "log_id", "left_semi"), read)
+        rows = head.join(wrapped, "log_id").select("log_id", F.col("sample").alias("text"), none.alias("chain"), (F.octet_length("sample") >= read).alias("more"), "now")
+        short = None
+        for _ in NAMES[1:]:
+            rows = rows.select("log_id", "more", F.array_join(_cleaned(F.split("text", "\n", -1), F.col("now")), "\n").alias("text"), F.array_append("chain", F.col("now")).alias("chain"))
+            sizes = inner_sizes(sample_bytes)
+            rows = written(rows.withColumn("now", _claimed(F.col("text"), F.col("chain"), sizes)))
+            lacking = F.col("now").isNull() & F.col("more") & (F.octet_length("text") < sizes[-1])
+            out = out.unionByName(rows.where(F.col("now").isNull() & ~lacking).select("log_id", "chain"))
+            again = rows.where(lacking).select("log_id", F.element_at("chain", 1).alias("now"))
+            short = again if short is None else short.unionByName(again)
+            rows = rows.where("now is not null")
+        out = out.unionByName(rows.select("log_id", F.array_append("chain", F.col("now")).alias("chain")))
+        wrapped, read = short, 16 * read
+    return out
 
 
 def strip(lines: DataFrame, envelope: str = "auto", sample_bytes: int = P.SAMPLE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -115,15 +139,18 @@ def strip(lines: DataFrame, envelope: str = "auto", sample_bytes: int = P.SAMPLE
     if envelope not in (*NAMES, "auto", "none"):
         raise EnvelopeError(f"unknown envelope {envelope!r}; known: {', '.join(NAMES)}, auto, none")
     if envelope == "auto":
-        # One small row per log, read by all that follows.
-        chain = written(chains(lines, sample_bytes))
+        chain = chains(lines, sample_bytes)
     else:
         chain = lines.select("log_id").distinct().withColumn("chain", F.array(*([] if envelope == "none" else [F.lit(envelope)])).cast("array<string>"))
+    longest = {"none": 0, "auto": None}.get(envelope, 1)
     named = chain.select("log_id", F.when(F.size("chain") == 0, "none").otherwise(F.array_join("chain", "+")).alias("envelope"))
     if envelope == "none":
         return lines, lines.sparkSession.createDataFrame([], BLOCKS), named
+    deepest = (chain.agg(F.max(F.size("chain"))).first()[0] or 0) if longest is None else longest
+    if deepest == 0:
+        return lines, lines.sparkSession.createDataFrame([], BLOCKS), named
     rows = lines.join(chain, "log_id").withColumns({"depth": F.lit(0), "command": F.lit(None).cast("string"), "args": F.lit(None).cast("string"), "code": F.lit(None).cast("string"), "off": F.lit(False)})
-    for depth in range(len(NAMES) if envelope == "auto" else 1):
+    for depth in range(deepest):
         stage = F.get("chain", F.lit(depth))
         live = ~F.col("off") & F.col("command").isNull() & stage.isNotNull()
         rows = rows.withColumn("p", F.when(live, peeled(F.col("line"), stage)))

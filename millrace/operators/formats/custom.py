@@ -25,6 +25,10 @@ class CustomFormat:
     kind: str = "match"
 
     def __post_init__(self):
+        # What is empty in a configuration file is as if it weren't there.
+        for key, default in (("event_end", None), ("severity", "error"), ("kind", "match")):
+            if not (getattr(self, key) or "").strip():
+                object.__setattr__(self, key, default)
         for key in ("name", "detect_regex", "event_start"):
             if not (getattr(self, key) or "").strip():
                 raise ValueError(f"custom format: {key} is required")
@@ -55,4 +59,4 @@ class CustomFormat:
             islands = marked.withColumn("island", running(F.col("start"))).where("island > 0")
             ends = islands.withColumn("over", ever(~F.col("start") & matches(F.col("line"), self.event_end), before("island"))).where("not over")
             found = bodies(ends, "island", line="line")
-        return blocks(found, self.id, F.lit(self.kind or "match"), F.lit(self.severity or "error"), F.col("line"), attrs)
+        return blocks(found, self.id, F.lit(self.kind), F.lit(self.severity), F.col("line"), attrs)

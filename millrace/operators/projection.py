@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -212,9 +214,9 @@ def envelope(blocks: DataFrame) -> DataFrame:
 PROJECTIONS = {"generic": generic, "gotest": gotest, "gotestsum": gotestsum, "pytest": pytest, "jest": jest, "envelope": envelope}
 
 
-def events_of(blocks: DataFrame, fmt: str) -> DataFrame:
+def events_of(blocks: DataFrame, fmt: str, project: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Blocks of one format -> events, still with ``emit`` and ``rank`` instead of ``seq``."""
-    out = PROJECTIONS.get(fmt, custom)(blocks)
+    out = (project or PROJECTIONS.get(fmt, custom))(blocks)
     return out.select(
         "log_id", "emit", "rank", "severity", "kind", F.coalesce("title", F.lit("")).alias("title"), F.col("location").cast(LOCATION).alias("location"), "body", "context",
         F.coalesce(F.col("frames").cast(f"array<{FRAME}>"), F.array().cast(f"array<{FRAME}>")).alias("frames"), F.lit(0).alias("frames_collapsed"), F.lit(0).alias("count"), F.lit(False).alias("truncated"), "metadata",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,10 +75,19 @@ def _total(lines: Column) -> Column:
     return F.aggregate(F.coalesce(lines, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda t, x: t + estimate(x))
 
 
-def cost() -> Column:
-    """Estimated tokens of an event: title, file, body, context and frames, each text rounded by itself; metadata is free."""
-    frames = F.aggregate("frames", F.lit(0).cast("long"), lambda t, f: t + estimate(F.coalesce(f["file"], F.lit(""))) + estimate(F.coalesce(f["function"], F.lit(""))))
-    return estimate(F.col("title")) + F.coalesce(estimate(F.col("location.file")), F.lit(0)) + _total(F.col("body")) + _total(F.col("context")) + frames
+#: Tokens of an array of texts, each rounded by itself.
+Estimator = Callable[[Column], Column]
+
+
+def _texts(*arrays: Column) -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat(F.array(F.coalesce("title", F.lit("")), F.coalesce("location.file", F.lit(""))), *(F.coalesce(a, none) for a in arrays))
+
+
+def cost(total: Estimator = _total) -> Column:
+    """Tokens of an event: title, file, body, context and frames, each text rounded by itself; metadata is free."""
+    frames = F.flatten(F.transform("frames", lambda f: F.array(F.coalesce(f["file"], F.lit("")), F.coalesce(f["function"], F.lit("")))))
+    return total(_texts(F.col("body"), F.col("context"), frames))
 
 
 def shortened() -> Column:
@@ -86,13 +96,13 @@ def shortened() -> Column:
     return F.when(F.size("body") > 0, F.concat(F.slice("body", 1, 1), note)).otherwise(note)
 
 
-def decide(events: DataFrame, budget: int, reserve: int = P.BUDGET_RESERVE) -> DataFrame:
+def decide(events: DataFrame, budget: int, reserve: int = P.BUDGET_RESERVE, total: Estimator = _total) -> DataFrame:
     """``log_id, seq, place, decision, tokens`` per event: ``keep``, ``cut`` or ``drop``.
 
     Events are taken in order of severity, then arrival, while tokens are left; one that doesn't fit is cut if that fits,
     else dropped, and smaller ones after it may still fit. The fold sees three numbers per event.
     """
-    priced = events.select("log_id", "seq", severity_rank(F.col("severity")).alias("rank"), cost().alias("cost"), (estimate(F.col("title")) + F.coalesce(estimate(F.col("location.file")), F.lit(0)) + _total(shortened())).alias("cut"))
+    priced = events.select("log_id", "seq", severity_rank(F.col("severity")).alias("rank"), cost(total).alias("cost"), total(_texts(shortened())).alias("cut"))
     start = budget - (reserve if reserve > 0 else P.BUDGET_RESERVE)
 
     def run(key, batch):
@@ -120,8 +130,8 @@ def apply_budget(events: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select(*EVENT_COLUMNS)
 
 
-def budget(events: DataFrame, tokens: int, reserve: int = P.BUDGET_RESERVE) -> DataFrame:
-    return events if tokens <= 0 else apply_budget(events, decide(events, tokens, reserve))
+def budget(events: DataFrame, tokens: int, reserve: int = P.BUDGET_RESERVE, total: Estimator = _total) -> DataFrame:
+    return events if tokens <= 0 else apply_budget(events, decide(events, tokens, reserve, total))
 
 
 def max_events(events: DataFrame, limit: int) -> DataFrame:
@@ -131,5 +141,10 @@ def max_events(events: DataFrame, limit: int) -> DataFrame:
     return events.withColumn("r", F.row_number().over(Window.partitionBy("log_id").orderBy("seq"))).where(F.col("r") <= limit).drop("r")
 
 
+def renumbered(events: DataFrame) -> DataFrame:
+    """``seq`` without gaps, in the same order."""
+    return events.withColumn("seq", F.row_number().over(Window.partitionBy("log_id").orderBy("seq")).cast("long"))
+
+
 def passthrough(events: DataFrame) -> DataFrame:
     return events

@@ -12,6 +12,10 @@ from ..operators.formats.custom import CustomFormat
 SCHEMA_VERSION = 1
 
 
+#: How the exact tokenizer cuts a text before it looks pieces up.
+TOKEN_PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+
+
 class ConfigError(ValueError):
     """A configuration file has an unknown key or a bad value."""
 
@@ -44,20 +48,30 @@ class SiftOptions:
     strict: bool = False
     passthrough: bool = False
     tokenizer: str = "heuristic"
+    vocabulary: str = ""
+    token_pattern: str = TOKEN_PATTERN
     sample_bytes: int = P.SAMPLE_BYTES
     formats: tuple[CustomFormat, ...] = ()
+    #: Options that logs of one format get instead: name of the format, and pairs of option and value.
+    by_format: tuple[tuple[str, tuple[tuple[str, object], ...]], ...] = ()
 
     def __post_init__(self):
         if self.severity not in ("error", "warn", "info"):
             raise OptionError(f"unknown severity {self.severity!r}")
         if self.output not in ("text", "markdown", "json", "ndjson"):
             raise OptionError(f"unknown output {self.output!r}")
-        if self.tokenizer != "heuristic":
-            raise TokenizerUnavailable(f"tokenizer {self.tokenizer!r} needs a vocabulary file; use functions.bpe.counter(path)")
+        if self.tokenizer not in ("heuristic", "tiktoken"):
+            raise OptionError(f"unknown tokenizer {self.tokenizer!r}; known: heuristic, tiktoken")
+        if self.tokenizer == "tiktoken" and not self.vocabulary:
+            raise TokenizerUnavailable("the exact tokenizer needs a vocabulary file: set vocabulary to the path of its ranks")
         for name in ("budget", "max_events", "dedupe_window"):
             if getattr(self, name) < 0:
                 raise OptionError(f"{name} must not be negative")
 
+    def of(self, fmt: str) -> SiftOptions:
+        """The options for logs of one format."""
+        return replace(self, by_format=(), **dict(dict(self.by_format).get(fmt, ())))
+
     @property
     def least(self) -> str:
         """The severity from which events count; keeping warnings lowers it to ``warn`` at most."""
@@ -71,7 +85,7 @@ def dedupe_window(dedupe: bool = False, no_dedupe: bool = False, window: int = -
 
 _KEYS = {
     "default_severity": "severity", "default_budget": "budget", "default_max_events": "max_events", "default_context": "context", "default_output": "output", "keep_vendor": "keep_vendor",
-    "keep_warnings": "keep_warnings", "strip_envelope": "envelope", "dedupe_window": "dedupe_window", "strict": "strict", "no_footer": "footer",
+    "keep_warnings": "keep_warnings", "strip_envelope": "envelope", "dedupe_window": "dedupe_window", "strict": "strict", "no_footer": "footer", "default_tokenizer": "tokenizer", "vocabulary": "vocabulary",
 }
 
 
@@ -128,11 +142,18 @@ def merge(user: Config, project: Config) -> Config:
 
 
 def apply_config(options: SiftOptions, config: Config, given: set[str] = frozenset()) -> SiftOptions:
-    """Options given by the caller win, then values for their format, then top-level ones."""
-    values = config.values | config.formats.get(options.format, {})
-    changes = {}
-    for key, value in values.items():
-        name = _KEYS[key]
-        if name not in given:
-            changes[name] = not value if key == "no_footer" else value
-    return replace(options, formats=tuple({f.name: f for f in (*config.custom, *options.formats)}.values()), **changes)
+    """Options given by the caller win, then values for their format, then top-level ones.
+
+    Where the format is detected, values for formats wait in ``by_format`` until it is known.
+    """
+
+    def changes(values: dict) -> dict:
+        return {_KEYS[k]: not v if k == "no_footer" else v for k, v in values.items() if _KEYS[k] not in given}
+
+    auto = options.format == "auto"
+    own = changes(config.values | ({} if auto else config.formats.get(options.format, {})))
+    later = tuple((fmt, tuple(changes(v).items())) for fmt, v in sorted(config.formats.items()) if changes(v)) if auto else ()
+    out = replace(options, formats=tuple({f.name: f for f in (*config.custom, *options.formats)}.values()), by_format=later, **own)
+    for fmt, _ in later:
+        out.of(fmt)  # a bad value is told now
+    return out

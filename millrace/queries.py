@@ -17,7 +17,7 @@ from .operators.folding import fold_logs
 from .operators.formats import generic, gotest, gotestsum, jest, pytest
 from .operators.formats.custom import CustomFormat
 from .operators.projection import events_of
-from .plans.engine import Result, detect_report, sift
+from .plans.engine import Result, sift
 from .plans.options import SiftOptions
 from .sources.logs import input_lines, lines_of, samples
 from .streaming.folds import GenericFold
@@ -74,7 +74,7 @@ GO_JSON_LOG = _tests(
 GO_LOG = _tests(
     """CASE WHEN k = 1 AND o % 21 = 0 THEN 'panic: nil map ' || t WHEN k = 1 AND o % 27 = 0 THEN '==================' WHEN k = 1 THEN '=== RUN   Test' || t WHEN k = 2 AND o % 15 = 0 THEN 'cart.go:' || CAST(o % 30 + 1 AS STRING) || ':2: undefined: y'
   WHEN k = 2 THEN '    c_test.go:' || CAST(o % 30 + 1 AS STRING) || ': bad ' || t WHEN k = 3 AND s = 'F' THEN '--- FAIL: Test' || t || ' (0.01s)' WHEN k = 3 THEN '--- PASS: Test' || t || ' (0.00s)'
-  WHEN o % 8 = 0 THEN 'FAIL' || chr(9) || 'shop/cart' || chr(9) || '0.2s' ELSE '        more ' || t END""", 4,
+  WHEN o % 8 = 0 THEN 'FAIL' || chr(9) || 'shop/cart' || chr(9) || '0.2s' WHEN o % 24 = 1 THEN 'ok  ' || chr(9) || 'shop/tax' || chr(9) || '0.1s' WHEN o % 24 = 2 THEN 'exit status 1' WHEN o % 24 = 3 THEN 'FAIL' || chr(9) || 'shop/x [build failed]' WHEN o % 24 = 4 THEN '=== CONT  Test' || t ELSE '        more ' || t END""", 4,
 )
 MIXED_LOG = f"""
 SELECT 'sum-' || log_id AS log_id, line_no, line FROM ({SUM_LOG}) a UNION ALL SELECT 'jest-' || log_id, line_no, line FROM ({JEST_LOG}) b
@@ -272,7 +272,6 @@ f AS (SELECT log_id, p, t, max(line_no) FILTER (a = 'fail') AS emit, coalesce(st
 SELECT * FROM b UNION ALL SELECT log_id, emit, 'test_failure', coalesce({_get('said', P.GO_ASSERTION, 3)}, ''), {_get('said', P.GO_ASSERTION, 1)}, CAST({_get('said', P.GO_ASSERTION, 2)} AS BIGINT), n_body, md5(body), 'package=' || p || ';test_id=' || t FROM f WHERE emit IS NOT NULL"""
 
 QUERIES["gotest_text"] = _blocks(gotest.parse, GO_LOG, "gotest")
-QUERIES["generic_blocks"] = _blocks(lambda lines: generic.parse(lines, "warn"), PANIC_LOG, "generic")
 
 
 @_add("build_errors", f"""
@@ -300,11 +299,6 @@ def dedupe_unbounded(spark, sf_dir):
     return _app_events(spark, sf_dir, severity="warn", dedupe_window=1024).deduped.select("log_id", "seq", "title", F.col("count").cast("long").alias("n_times"))
 
 
-@_add("dedupe_bounded")
-def dedupe_bounded(spark, sf_dir):
-    return _app_events(spark, sf_dir, severity="warn", dedupe_window=4).deduped.select("log_id", "seq", "title", F.col("count").cast("long").alias("n_times"))
-
-
 _EVENT_COST = f"{_cost('title')} + {_cost('file')} + {_cost('title')} + list_sum(list_transform(context, lambda x: {_cost('x')}))"
 
 
@@ -384,11 +378,6 @@ def detect_winner(spark, sf_dir):
     return detection.detect(samples(_sql(spark, sf_dir, MIXED_LOG), P.SAMPLE_BYTES)).select("log_id", "format", F.col("confidence").cast("double").alias("confidence"), "fellback_to_generic")
 
 
-@_add("detect_report")
-def detect_report_query(spark, sf_dir):
-    return detect_report(_sql(spark, sf_dir, MIXED_LOG))
-
-
 def _stripped(log: str, name: str):
     def query(spark, sf_dir):
         return envelopes.strip(_sql(spark, sf_dir, log), name)[0]
@@ -404,14 +393,6 @@ QUERIES["gitlab_strip"] = _stripped(GITLAB_LOG, "gitlab-ci")
 SQL["gitlab_strip"] = f"""SELECT log_id, line_no, line FROM (SELECT log_id, line_no, regexp_replace(line, '{P.GITLAB_PREFIX}', '') AS line FROM ({GITLAB_LOG})) WHERE NOT {_has('line', P.GITLAB_SECTION)} AND NOT {_has('line', P.GITLAB_FAILED)}"""
 
 
-@_add("envelope_signals", f"""
-WITH c AS (SELECT log_id, line_no, regexp_replace(line, '{P.GHA_TIME}', '') AS line FROM ({GHA_LOG})), k AS (SELECT *, {_get('line', P.GHA_COMMAND, 1)} AS cmd, trim({_get('line', P.GHA_COMMAND, 2)}) AS args FROM c WHERE line LIKE '##[%'),
-n AS (SELECT *, last_value(CASE cmd WHEN 'group' THEN args WHEN 'endgroup' THEN '' END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no) AS grp FROM k)
-SELECT log_id, line_no AS emit, CASE WHEN cmd <> 'error' THEN 'envelope_warning' WHEN {_has('args', P.GHA_EXIT)} THEN 'envelope_step_failure' ELSE 'envelope_error' END AS kind, args AS body FROM n WHERE cmd IN ('error', 'warning', 'notice')""")
-def envelope_signals(spark, sf_dir):
-    return envelopes.strip(_sql(spark, sf_dir, GHA_LOG), "github-actions")[1].select("log_id", "emit", "kind", F.array_join("body", "\n").alias("body"))
-
-
 @_add("gitlab_signals")
 def gitlab_signals(spark, sf_dir):
     return _flat(events_of(envelopes.strip(_sql(spark, sf_dir, GITLAB_LOG), "gitlab-ci")[1], "envelope"), "emit")
@@ -422,21 +403,6 @@ def envelope_chain(spark, sf_dir):
     return envelopes.strip(_sql(spark, sf_dir, NESTED_LOG))[2]
 
 
-@_add("encode_text")
-def encode_text(spark, sf_dir):
-    return _app_events(spark, sf_dir, severity="warn", budget=_BUDGET, dedupe_window=1024).render()
-
-
-@_add("encode_markdown")
-def encode_markdown(spark, sf_dir):
-    return _app_events(spark, sf_dir, severity="warn", output="markdown", fence="log").render()
-
-
-@_add("encode_json")
-def encode_json(spark, sf_dir):
-    return _app_events(spark, sf_dir, output="json").render()
-
-
 @_add("encode_ndjson", f"""
 WITH e AS ({_EVENTS})
 SELECT log_id, seq, json_extract_string(j, '$.title') AS title, json_extract_string(j, '$.location.file') AS file, CAST(json_extract_string(j, '$.location.line') AS BIGINT) AS line, CAST(json_array_length(j, '$.context') AS BIGINT) AS n_context
@@ -456,12 +422,6 @@ def passthrough(spark, sf_dir):
     return r.render().where(~F.col("text").startswith("events from")).select("log_id", F.md5("text").alias("text_md5"))
 
 
-@_add("distill")
-def distill(spark, sf_dir):
-    """All formats at once: detection, parsing, collapsing, deduplication, budget and summary of mixed logs."""
-    return sift(_sql(spark, sf_dir, MIXED_LOG), SiftOptions(severity="warn", dedupe_window=1024, budget=2000)).summary
-
-
 @_add("distill_app", f"""
 WITH n AS (SELECT log_id, count(*) AS input_lines FROM ({APP_LOG}) GROUP BY log_id), d AS (SELECT log_id, count(*) AS kinds, sum(n) - count(*) AS again FROM ({_DEDUPED}) GROUP BY log_id)
 SELECT n.log_id, input_lines, coalesce(kinds, 0) AS events_emitted, CAST(coalesce(again, 0) AS BIGINT) AS events_deduped, CASE WHEN coalesce(kinds, 0) = 0 THEN 1 ELSE 0 END AS exit_code FROM n LEFT JOIN d ON d.log_id = n.log_id""")

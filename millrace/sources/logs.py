@@ -31,14 +31,24 @@ def read_logs(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("log_id"), F.col("value").alias("text"))
 
 
+def read_stdin(spark: SparkSession, stream, log_id: str = "-") -> DataFrame:
+    """What a byte stream holds, as one log. It is read by the driver, so it is as long as the driver's memory allows; larger logs come from files."""
+    return spark.createDataFrame([(log_id, bytearray(stream.read()))], "log_id string, raw binary").select("log_id", F.col("raw").cast("string").alias("text"))
+
+
+def concatenated(parts: DataFrame) -> DataFrame:
+    """``log_id, k, text``: the texts of a log in the order of ``k``, with a line end between them -> ``log_id, text``."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
+    return parts.groupBy("log_id").agg(joined.alias("text"))
+
+
 def read_concatenated(spark: SparkSession, *paths: str, log_id: str = "-") -> DataFrame:
     """Files read as one log, in the order given, with a line end between them."""
     parts = None
     for k, path in enumerate(paths):
-        one = spark.read.text(path, wholetext=True).select(F.lit(k).alias("k"), F.col("value").alias("text"))
+        one = spark.read.text(path, wholetext=True).select(F.lit(log_id).alias("log_id"), F.lit(k).alias("k"), F.col("value").alias("text"))
         parts = one if parts is None else parts.unionByName(one)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n")
-    return parts.agg(joined.alias("text")).select(F.lit(log_id).alias("log_id"), "text")
+    return concatenated(parts)
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
@@ -49,8 +59,10 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
         F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"), "value"
     )
     order = Window.partitionBy("log_id").orderBy("at", "k")
+    # Reading stops before the first line of 1 MiB or more, as of whole logs.
+    over = F.max((F.octet_length("value") >= LINE_BYTES - 1).cast("int")).over(order)
     line = F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
-    return raw.select("log_id", F.row_number().over(order).cast("long").alias("line_no"), line.alias("line"))
+    return raw.select("log_id", F.row_number().over(order).cast("long").alias("line_no"), line.alias("line"), over.alias("over")).where("over = 0").drop("over")
 
 
 def input_lines(text: Column) -> Column:
@@ -69,9 +81,9 @@ def samples(lines: DataFrame, size: int) -> DataFrame:
     return head.groupBy("log_id").agg(text.alias("whole")).select("log_id", prefix(F.col("whole"), size).alias("sample"))
 
 
-def prefix(text: Column, size: int) -> Column:
+def prefix(text: Column, size: int | Column) -> Column:
     """The first bytes of a text, as text; of a character cut in two nothing is left."""
-    whole = F.encode(text, "UTF-8")
+    whole, size = F.encode(text, "UTF-8"), F.lit(size)
     # Up to three bytes of a cut character go: the longest prefix that is valid is taken.
-    cut = F.coalesce(*(F.when(F.is_valid_utf8(part := F.substring(whole, 1, size - k).cast("string")), part) for k in range(4)))
+    cut = F.coalesce(*(F.when(F.is_valid_utf8(part := F.substring(whole, F.lit(1), size - k).cast("string")), part) for k in range(4)))
     return F.when(F.octet_length(text) <= size, text).otherwise(cut)

@@ -115,10 +115,24 @@ def test_windows_equal_folds(spark, fmt):
 
 
 def test_blocks_of_mixed_kinds(spark):
-    """Against a plain reading of the rules, by position."""
+    """Against a plain reading of the rules: a block's lines are those that go on with it; what follows is context, up to three lines or the next anchor."""
+    anchor = {"Traceback (x": "traceback", "panic: p": "panic", "ERROR e": "error_line", "ValueError: v": "error_line"}
+    goes = {"traceback": {"  in", "", "ValueError: v"}, "panic": {"  in", "", "panic: p", "main.f(a)"}, "error_line": set()}
     rng = random.Random(3)
-    words = ["Traceback (x", "panic: p", "  in", "", "plain", "ERROR e", "ValueError: v", "main.f(a)"]
-    for _ in range(3):
-        lines = rng.choices(words, k=40)
-        got = parsed(spark, generic, "\n".join(lines), "generic")
-        assert sum(len(e.body) for e in got) <= len(lines) and all(e.body[0] in lines for e in got)
+    for _ in range(4):
+        text = rng.choices(["Traceback (x", "panic: p", "  in", "", "plain", "ERROR e", "ValueError: v", "main.f(a)"], k=60) + ["end"]
+        want, i, inside = [], 0, None
+        while i < len(text):
+            if text[i] in anchor:
+                kind, j = anchor[text[i]], i + 1
+                while j < len(text) and text[j] in goes[kind]:
+                    j += 1
+                after = j
+                while after < len(text) and after < j + 3 and (after == j or text[after - 1] not in anchor):
+                    after += 1
+                want.append((kind, text[i:j], text[max(0, i - 3) : i] + text[j:after]))
+                i = j
+            else:
+                i += 1
+        got = parsed(spark, generic, "\n".join(text), "generic")
+        assert [(e.kind, e.body, e.context) for e in got] == want

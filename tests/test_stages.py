@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import estimate
 from millrace.operators import stages
-from millrace.operators.detection import detect, list_formats
+from millrace.operators import envelopes
+from millrace.operators.detection import Format, detect, list_formats, register_format, unregister_format
 from millrace.operators.envelopes import EnvelopeError, strip
 from millrace.operators.formats.custom import CustomFormat
 from millrace.operators.projection import events_of
-from millrace.plans.engine import detect_report, sift
+from millrace.plans.engine import detect_report, report_lines, sift, sift_logs
 from millrace.plans.options import Config, ConfigError, OptionError, SiftOptions, TokenizerUnavailable, apply_config, dedupe_window, discover, merge, parse_config
 from millrace.schema import EVENTS
 from millrace.sources.logs import input_lines, lines_of, read_concatenated, read_lines, read_logs
@@ -103,7 +104,7 @@ def test_whole_run_and_rendering(spark):
     text = {x.log_id: x.text for x in r.render().collect()}
     assert text["quiet"] == "fine\n" and text["app"].startswith("events from generic\n\n[1] ERROR ERROR a/b.py:3: bad\n  at a/b.py:3\n  ERROR a/b.py:3: bad\n  context:\n    start\n") and "  (×2)\n" in text["app"]
     s = {x.log_id: x for x in r.summary.collect()}
-    assert (s["app"].input_lines, s["app"].events_emitted, s["app"].events_deduped, s["app"].exit_code) == (5, 1, 1, 0) and s["quiet"].exit_code == 1
+    assert (s["app"].input_lines, s["app"].events_emitted, s["app"].events_deduped, s["app"].exit_code) == (5, 1, 1, 0) and s["quiet"].exit_code == 0
     j = {x.log_id: json.loads(x.text) for x in sift(lines(spark, app=app), SiftOptions(format="generic", output="json")).render().collect()}["app"]
     assert j["events"][0]["location"] == {"file": "a/b.py", "line": 3, "column": None} and "metadata" not in j["events"][0] and j["summary"]["events_found"] == 2
     nd = sift(lines(spark, app=app), SiftOptions(format="generic", output="ndjson")).render().collect()[0].text.splitlines()
@@ -130,6 +131,10 @@ def test_options_and_config(tmp_path):
     with pytest.raises(TokenizerUnavailable):
         SiftOptions(tokenizer="tiktoken")
     c = parse_config('schema_version = 1\ndefault_budget = 5\n[formats.jest]\ndefault_budget = 9\n[[custom_formats]]\nname = "b"\ndetect_regex = "x"\nevent_start = "y"\n')
+    auto = apply_config(SiftOptions(), c)
+    assert auto.of("jest").budget == 9 and auto.of("gotest").budget == 5 and apply_config(SiftOptions(), c, {"budget"}).by_format == ()
+    with pytest.raises(OptionError):
+        apply_config(SiftOptions(), parse_config("[formats.jest]\ndedupe_window = -4"))
     assert apply_config(SiftOptions(format="jest"), c).budget == 9 and apply_config(SiftOptions(), c).budget == 5 and apply_config(SiftOptions(budget=1), c, {"budget"}).budget == 1
     assert merge(c, Config({"default_budget": 6}, {}, ())).values["default_budget"] == 6 and c.custom[0].id == "custom:b"
     for bad in ("nope = 1", "[formats.jest]\nx = 1", "schema_version = 2", "a = [", '[[custom_formats]]\nname = "b"'):
@@ -150,6 +155,111 @@ def test_sources(spark, tmp_path):
     assert [r.n for r in got] == [2, 1, 0, 0]
 
 
+def whole(spark, **logs):
+    return spark.createDataFrame(list(logs.items()), "log_id string, text string")
+
+
+def test_logs_without_events(spark):
+    logs = whole(spark, empty="", null=None, quiet="a\r\nb", loud="ERROR x", long="a\n" + "y" * (1 << 20) + "\nb\n")
+    for fmt in ("generic", "auto"):
+        r = sift_logs(logs, SiftOptions(format=fmt))
+        s = {x.log_id: (x.input_lines, x.events_emitted, x.exit_code, x.format) for x in r.summary.collect()}
+        assert s == {"empty": (0, 0, 1, "generic"), "null": (0, 0, 1, "generic"), "quiet": (2, 0, 1, "generic"), "loud": (1, 1, 0, "generic"), "long": (3, 0, 1, "generic")}
+    text = {x.log_id: x.text for x in r.render().collect()}
+    assert text["empty"] == "no events found\n---\ndistilled ? lines → 0 lines (0 tokens, heuristic)\ndropped: 0 events, 0 truncated, 0 deduped, 0 vendor frames\n"
+    md = {x.log_id: x.text for x in sift_logs(logs, SiftOptions(format="generic", output="markdown")).render().collect()}
+    assert md["quiet"].startswith("_no events found_\n---\n\n- **Lines distilled:** 2 → 0\n")
+    r = sift_logs(logs, SiftOptions(format="generic", passthrough=True))
+    assert {x.log_id: x.exit_code for x in r.summary.collect()} == {"empty": 1, "null": 1, "quiet": 0, "loud": 0, "long": 0}
+    assert {x.log_id: x.text for x in r.render().collect()}["quiet"] == "a\r\nb"
+    # What the budget drops isn't passed through.
+    r = sift_logs(logs, SiftOptions(format="generic", passthrough=True, budget=31))
+    assert {x.log_id: x.exit_code for x in r.summary.collect()}["loud"] == 3 and {x.log_id: x.text for x in r.render().collect()}["loud"].startswith("no events found")
+
+
+def test_events_are_numbered_without_gaps(spark):
+    r = sift(lines(spark, a=["ERROR x", "ERROR x", "ERROR y"]), SiftOptions(format="generic", dedupe_window=9))
+    assert sorted((x.seq, x.title) for x in r.events.collect()) == [(1, "ERROR x"), (2, "ERROR y")]
+
+
+def test_settings_left_empty_are_defaults():
+    one = CustomFormat("n", "x", "y", "", "", "")
+    assert (one.event_end, one.severity, one.kind) == (None, "error", "match")
+
+
+def test_registered_format(spark):
+    from millrace.queries_whole import _shouts
+
+    with pytest.raises(ValueError):
+        register_format(Format("jest", None, None))
+    register_format(Format("shout", lambda s: F.when(s.contains("SHOUT"), 1.0).otherwise(0.0), _shouts))
+    try:
+        r = sift(lines(spark, a=["SHOUT", "ERROR x"], b=["ERROR y"]))
+        assert {x.log_id: (x.format, x.events_emitted) for x in r.summary.collect()} == {"a": ("shout", 1), "b": ("generic", 1)}
+        assert "shout\t1\tbuiltin" in list_formats()
+    finally:
+        unregister_format("shout")
+
+
+def test_exact_tokenizer_in_the_budget(spark, tmp_path):
+    import base64
+
+    # Single bytes, and "ab" as one token.
+    tokens = [bytes([i]) for i in range(256)] + [b"ab"]
+    (tmp_path / "ranks").write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(tokens)))
+    e = events(spark, ("error", "abab x"), ("warn", "zzz"))
+    r = sift(lines(spark, a=["ERROR abab"]), SiftOptions(format="generic", budget=100, tokenizer="tiktoken", vocabulary=str(tmp_path / "ranks"), token_pattern=r"\s+|\S+"))
+    # Title and body: E R R O R, a blank, ab ab.
+    assert r.summary.collect()[0].estimated_tokens == 16 and r.summary.collect()[0].estimator == "tiktoken"
+    assert stages.decide(e, 40, 30, r._total).count() == 2
+
+
+def test_report_lines(spark):
+    rows = {x.log_id: report_lines(x) for x in detect_report(lines(spark, a=["--- FAIL: T", "=== FAIL: a"], z=["hm"])).collect()}
+    assert rows["a"] == ["source: a", "envelope: none", "format: gotest", "confidence: 1.00", "sample_bytes: 24", "fellback_to_generic: false", "runner: gotestsum", "runner_confidence: 1.00"]
+    assert rows["z"][-2:] == ["fellback_to_generic: true", "runner: (none)"]
+
+
+def test_inner_samples_grow_and_logs_are_read_on(spark, monkeypatch):
+    assert envelopes.inner_sizes() == [16384, 81920, 147456, 212992, 262144]
+    monkeypatch.setattr(envelopes, "FIRST_READ", 20_000)
+    t = "2024-01-02T03:04:05.678Z "
+    far = ["##[group]g", *["##[debug]" + "d" * 90] * 700, *[t + "web-1  | x"] * 5]
+    _, _, names = strip(lines(spark, far=far, none=["x"]))
+    assert {r.log_id: r.envelope for r in names.collect()} == {"far": "github-actions+docker-compose", "none": "none"}
+
+
+def test_groups_nested_deeper_than_counted(spark):
+    gha = ["##[group]g" + str(i) for i in range(10)] + ["##[endgroup]", "##[error]Process completed with exit code 1."]
+    _, signals, _ = strip(lines(spark, a=gha), "github-actions")
+    assert signals.collect()[0].attrs == {"exit_code": "1", "step": "g6"}
+
+
+def test_white_space_of_other_kinds(spark):
+    text = "ERROR\x0bx\xa0\n\xa0 ERROR y \xa0\t\r\néERROR\n"
+    got = sift_logs(whole(spark, a=text), SiftOptions(format="generic", envelope="none")).events.orderBy("seq").collect()
+    assert [e.title for e in got] == ["ERROR\x0bx\xa0", "\xa0 ERROR y \xa0", "éERROR"] and got[1].body == ["\xa0 ERROR y \xa0\t"]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capfdbinary):
+    import io
+    import sys
+    import types
+
+    from millrace.__main__ import main
+
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(Path, "home", lambda: tmp_path)
+    monkeypatch.setattr(sys, "stdin", types.SimpleNamespace(buffer=io.BytesIO(b"fine\r\nno end")))
+    assert main(["run", "generic", "--passthrough"]) == 0 and b"fine\r\nno end" in capfdbinary.readouterr().out
+    monkeypatch.setattr(sys, "stdin", types.SimpleNamespace(buffer=io.BytesIO(b"ERROR x\n")))
+    assert main(["run", "--no-footer", "-v", "-"]) == 0
+    said = capfdbinary.readouterr()
+    assert said.out.startswith(b"events from generic\n\n[1] ERROR ERROR x\n") and b"format: generic" in said.err
+    (tmp_path / "a").write_text("--- FAIL: T (0s)\n")
+    assert main(["detect", str(tmp_path / "a")]) == 0 and b"format: gotest\n" in capfdbinary.readouterr().out
+
+
 def test_stream(spark, tmp_path):
     shape = "log_id string, line_no long, line string"
     parts = [[("a", 1, "ERROR x"), ("a", 2, "p")], [("a", 3, "q"), ("b", 1, "Traceback x"), ("b", 2, "  in")], [("b", 3, "KeyError: k"), ("a", 4, "r"), ("b", 4, None)]]
