@@ -14,7 +14,7 @@ from millrace.llm import decontaminate, mixing, sharding, suffix_dedup
 from millrace.llm._queries import SQL
 from millrace.llm.decontaminate import Phrases, Shard, near, phrase_matches
 from millrace.llm.line_dedup import without_repeated_lines
-from millrace.llm.mixing import mixture, mixed, shuffled, splitting_tree, targets
+from millrace.llm.mixing import mixture, mixed, shuffled
 from millrace.llm.substring_dedup import FingerprintLog, without_repeats
 from millrace.llm.suffix_dedup import suffix_array, without_repeated_bytes
 from millrace.llm.token_counts import Counter, token_counts
@@ -229,64 +229,109 @@ def test_proximity_over_all_shards(spark, monkeypatch, parts, slice_words):
     assert decontaminate.proximity_matches(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
-def test_targets():
-    got = targets([100, 1000, 10], [5, 2, 1], 1110)
-    assert got[0] == 300 and got[2] == 30 and abs(sum(got) - 1110) < 1e-9 and targets([], [], 0) == []
+def shares(sizes, weights, total, most=3):
+    """Shares by weight, the excess over the limits dealt again."""
+    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), float(total)
+    while free:
+        w = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / w > most * sizes[i]]
+        for i in over or free:
+            out[i] = float(most * sizes[i]) if over else left * weights[i] / w
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    return out
 
 
 def test_splitting_tree():
-    quotas = np.array([100, 3, 0, 57])
-    got = splitting_tree(quotas, 7, np.random.Generator(np.random.PCG64(1)))
-    assert got.shape == (7, 4) and (got.sum(0) == quotas).all() and (got >= 0).all() and got.sum(1).max() - got.sum(1).min() <= 2
+    quotas, ids = np.array([100, 3, 0, 57]), np.arange(4)
+    leaves = list(mixing.splitting_tree(0, 7, quotas, np.zeros(4, int), ids))
+    assert [x[0] for x in leaves] == list(range(7))
+    drawn = [sorted((a, a + n) for _, _, s, q, at in leaves for i, n, a in zip(s, q, at) if i == k) for k in range(4)]
+    for k, spans in enumerate(drawn):
+        assert sum(z - a for a, z in spans) == quotas[k] and all(z == a for (_, z), (a, _) in zip(spans, spans[1:]))
+    sizes = [int(x[3].sum()) for x in leaves]
+    assert max(sizes) - min(sizes) <= 2
+    # Split in two steps, as on executors, the tree is the same.
+    nodes = mixing.splitting_tree(0, 7, quotas, np.zeros(4, int), ids, 2)
+    again = [x for low, high, s, q, at in nodes for x in mixing.splitting_tree(low, high, q, at, s)]
+    assert [(x[0], x[3].tolist(), x[4].tolist()) for x in again] == [(x[0], x[3].tolist(), x[4].tolist()) for x in leaves]
+
+
+def mix_rows():
+    rng = random.Random(10)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(2000)] + [(5000, None, "a"), (5001, "", "d")]
+    # Rows that nothing tells apart: by null ids, and by ids and texts that repeat.
+    return rows + [(None, "x " * 25, "e")] * 1000 + [(7000 + i, "y z", "f") for i in range(3)] + [(8000, "same words here", "g")] * 70
 
 
-def test_mixing(spark, monkeypatch):
+def test_mixing_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_WORDS", 3000)
-    rng = random.Random(10)
-    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "a", "a", "a", "b", "c", None])) for i in range(2000)] + [(5000, None, "a"), (5001, "", "d")]
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 7)
+    rows = mix_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixture(docs).collect()
-    again = sorted((r.doc_id, r.taken) for r in mixture(docs.repartition(7)).collect())
-    assert sorted((r.doc_id, r.taken) for r in got) == again
-    by = {i: s for i, _, s in rows}
-    for s in ("a", "b", "c", None, "d"):
-        own = [r for r in got if by[r.doc_id] == s]
-        assert abs(sum(r.taken for r in own) - own[0].target) <= 30 and all(r.taken <= 3 * r.size for r in own) and own[0].source_size == sum(r.size for r in own)
-    whole = collections.Counter(r.doc_id for r in mixed(docs).collect())
-    assert whole == {r.doc_id: r.copies for r in got if r.copies}
-    laid = shuffled(docs).collect()
-    assert len(laid) == sum(whole.values()) and len({r.mix_shard for r in laid}) > 3
-    assert mixture(docs.limit(0)).count() == 0
-
-
-def test_mix_is_laid_out_by_the_tree(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_WORDS", 20_000)
-    sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    of = {r.doc_id: (r.source, r._h) for r in mixing._keyed(docs).collect()}
-    plan = {r.source: r for r in mixing.plan(docs).collect()}
-    draws, blocks = {}, collections.defaultdict(set)
-    for r in mixing.op5_mixing(spark, sf).collect():
-        source, h = of[r.doc_id]
-        assert len(r.draws) == r.copies
-        for c, d in enumerate(r.draws):
-            draws[r.doc_id, d.place] = d.shard
-            blocks[source, d.shard].add((c, h >> (63 - plan[source].bits)))
-    assert len(set(draws.values())) > 3
-    # Where no block is empty, a shard has as many blocks of a source as the tree gave it.
-    for source, p in plan.items():
-        assert [len(blocks[source, k]) for k in range(len(p.offsets))] == np.diff([0, *p.offsets]).tolist()
-    own = collections.defaultdict(list)
-    for (doc, place), shard in draws.items():
-        own[shard].append((place, doc))
-    want = {tuple(doc for _, doc in sorted(x)) for x in own.values()}
-    for part in filter(None, mixed(docs).select("doc_id").rdd.glom().map(lambda rows: [r.doc_id for r in rows]).collect()):
-        at = 0
-        while at < len(part):
-            found = next(w for w in want if tuple(part[at : at + len(w)]) == w)
-            want.remove(found)
-            at += len(found)
-    assert not want
+    again = sorted((str(r.doc_id), r.taken) for r in mixture(docs.repartition(7)).collect())
+    assert sorted((str(r.doc_id), r.taken) for r in got) == again
+    hashed = docs.select("doc_id", "source", "text", mixing._hash("doc_id", "text", "source").alias("h")).collect()
+    by = collections.defaultdict(list)
+    for r in hashed:
+        by[r.source].append((r.h, len((r.text or "").split()), r.doc_id))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(x[1] for x in by[s]) for s in names]
+    want = collections.Counter()
+    for s, size, target in zip(names, sizes, shares(sizes, [(5, 2, 1)[i % 3] for i in range(len(names))], sum(sizes))):
+        base = min(3, int(target / size + 1e-12)) if size else 0
+        left = max(0.0, target - base * size)
+        for h, n, i in sorted(by[s], key=lambda x: x[0]):
+            # The last document taken is the one whose end is nearest.
+            more = left > 0 and (n == 0 or left / n + 0.5 >= 1)
+            left -= n if more else max(left, 0)
+            want[i, base + more] += 1
+        own = [r for r in got if r.source_size == size and abs(r.target - target) < 1e-6 * max(1, target)]
+        assert abs(sum(r.taken for r in own) - target) <= max(x[1] for x in by[s]) / 2 + 1e-6, s
+    assert collections.Counter((r.doc_id, r.copies) for r in got) == want
+    assert all(r.taken == r.copies * r.size == len(r.draws) * r.size and r.copies <= 3 for r in got) and len({d.shard for r in got for d in r.draws}) > 10
+    assert mixture(docs.limit(0)).count() == 0 and mixed(docs.limit(0)).count() == 0
+
+
+def test_the_tree_decides_what_is_drawn(spark, monkeypatch):
+    """Blocks drawn by each shard are the leaves' quotas; a leaf that draws nothing takes nothing."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 3000)
+    docs = spark.createDataFrame(mix_rows(), "doc_id long, text string, source string")
+    scratch = Scratch(spark, "t")
+    sized = scratch.save(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing._hash("doc_id", "text", "source").alias("h")), "sized")
+    per, draws = mixing.plan(sized, scratch)
+    total = sum(r["size"] for r in sized.collect())
+    quotas = {r.sid: r.base * (r.blocks or 0) + (r.part or 0) for r in per.collect()}
+    ids = np.array(sorted(quotas))
+    leaves = {x[0]: dict(zip(x[2].tolist(), x[3].tolist())) for x in mixing.splitting_tree(0, -(-total // 3000), np.array([quotas[i] for i in ids]), np.zeros(len(ids), int), ids)}
+    found = collections.defaultdict(collections.Counter)
+    for r in draws.collect():
+        for d in r.draws:
+            found[d.shard][r.sid] += 1
+    assert {k: dict(v) for k, v in found.items()} == leaves
+    monkeypatch.setattr(mixing, "splitting_tree", lambda low, high, *rest: iter(()))
+    real = mixing._expanded
+    monkeypatch.setattr(mixing, "_expanded", lambda nodes: lambda batches: iter(()))
+    assert {r.taken for r in mixture(docs).collect()} == {0} and real
+
+
+def test_mix_is_laid_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 3000)
+    docs = spark.createDataFrame(mix_rows(), "doc_id long, text string, source string")
+    for c in ("base", "bits", "cut", "offsets", "_source", "_h", "_size", "_copies", "_draw", "sid", "block", "draws", "row", "shard", "place", "h", "size", "part", "a.b"):
+        docs = docs.withColumn(c, F.lit("keep " + c))
+    want = {(r.doc_id, d.place): d.shard for r in mixture(docs).collect() for d in r.draws}
+    laid = shuffled(docs)
+    assert {(r.doc_id, r.mix_place): r.mix_shard for r in laid.collect()} == want and set(docs.columns) < set(laid.columns)
+    parts = laid.select(F.spark_partition_id().alias("p"), "mix_shard", "mix_place").collect()
+    assert len({(r.p, r.mix_shard) for r in parts}) == len({r.mix_shard for r in parts}) > 10
+    assert all((a.mix_shard, a.mix_place) <= (b.mix_shard, b.mix_place) for a, b in zip(parts, parts[1:]) if a.p == b.p)
+    out = mixed(docs)
+    assert out.columns == docs.columns and {(r["a.b"], r.base, r._h) for r in out.collect()} == {("keep a.b", "keep base", "keep _h")}
+    assert out.count() == sum(r.copies for r in mixture(docs).collect())
 
 
 @pytest.mark.parametrize("limit", [200, 2000, 10**9])
