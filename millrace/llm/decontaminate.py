@@ -1,26 +1,30 @@
 """Benchmark decontamination by a positional inverted index that is partitioned by document.
 
-Each block of documents is a shard of the index: for every term of the test phrases, the sorted positions at which the
-shard's tokens have it. A phrase starts from the posting list of its term that is rarest in the shard; each start
-(position less offset) is looked up in the next rarest term's list, and so on, until all terms agree. All phrases are
-advanced together, so a step is one search over the starts still alive. Lists never leave their shard, so no key can
-be hot and nothing but the results is shuffled. The phrases go to all shards in slices of bounded size.
+Each block of documents is a shard of the index: its terms in order, and for every term the sorted positions at which the
+shard's tokens have it. The index is a table, one row per shard, and serves any number of test sets. A phrase starts from
+the posting list of its term that is rarest in the shard; each start (position less offset) is looked up in the next
+rarest term's list, and so on, until all terms agree. All phrases are advanced together, so a step is one search over the
+starts still alive. Lists never leave their shard, so no key can be hot and nothing but the results is shuffled. The
+phrases go to all shards in slices of bounded size, one after the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import ALNUM_WORD, Scratch, narrowed, pieces, raw, read_table
 
 WINDOW = 13
-#: Words of test items that one pass over the documents may carry to all executors.
+#: Words of test items that one pass over the index may carry to all executors.
 SLICE_WORDS = 2_000_000
-#: Documents in a shard of the index.
-SHARD_ROWS = 500
+#: Documents in a shard of the index, and bytes of text, more or less.
+SHARD_ROWS, SHARD_BYTES = 500, 4 << 20
 
 
 def terms(text: bytes | None) -> list[bytes]:
@@ -48,26 +52,39 @@ class Phrases:
 
 
 class Shard:
-    """Positional postings of a block of documents, for the terms of the phrases only."""
-
-    def __init__(self, texts: list[bytes | None], phrases: Phrases):
-        ids, gap = phrases.ids, phrases.width + 1
-        seqs = [terms(t) for t in texts]
-        self.n_words = np.array([len(s) for s in seqs], np.int64)
-        # Documents lie one after the other, with a gap that no phrase bridges.
-        self.first = np.concatenate([[0], np.cumsum(self.n_words + gap)])
-        term = np.full(int(self.first[-1]), -1, np.int64)
-        for at, s in zip(self.first, seqs):
-            term[at : at + len(s)] = [ids.get(w, -1) for w in s]
-        position = np.flatnonzero(term >= 0)
-        order = np.argsort(term[position], kind="stable")
-        self.position = position[order]
-        self.start = np.searchsorted(term[self.position], np.arange(len(ids) + 1))
-        self.span = max(len(term), 1)
-        self.key = term[self.position] * self.span + self.position
-
-    def frequency(self, term: np.ndarray) -> np.ndarray:
-        return np.where(term >= 0, self.start[term + 1] - self.start[term], np.iinfo(np.int64).max)
+    """Positional postings of a block of documents: ``terms`` in order, the positions of each, and how many words each document has.
+
+    Documents lie one after the other with a gap between them that is larger than ``gap``, so nothing within it spans two.
+    """
+
+    def __init__(self, n_words: np.ndarray, own: list[bytes], counts: np.ndarray, position: np.ndarray, gap: int):
+        self.n_words, self.terms = n_words, own
+        self.count, self.start = counts, np.concatenate([[0], np.cumsum(counts)])
+        # Stored positions count words only; the gaps come in here.
+        dense = np.concatenate([[0], np.cumsum(n_words)])
+        document = np.searchsorted(dense, position, side="right") - 1
+        self.position = position + document * (gap + 1)
+        self.first = dense + np.arange(len(dense)) * (gap + 1)
+        self.span = int(self.first[-1]) + 1
+        self.key = np.repeat(np.arange(len(own)), counts) * self.span + self.position
+
+    @staticmethod
+    def postings(texts: list[bytes | None]) -> tuple[list[int], list[bytes], list[int], np.ndarray]:
+        """Words per document, terms in order, how often each occurs, and the positions term by term."""
+        ids: dict[bytes, int] = {}
+        seqs = [[ids.setdefault(w, len(ids)) for w in terms(t)] for t in texts]
+        term = np.fromiter((i for s in seqs for i in s), np.int64, sum(map(len, seqs)))
+        names = list(ids)
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        term = rank[term] if len(names) else term
+        return [len(s) for s in seqs], [names[i] for i in order], np.bincount(term, minlength=len(names)).tolist(), np.argsort(term, kind="stable")
+
+    def local(self, ids: dict[bytes, int]) -> np.ndarray:
+        """Place in ``terms`` of each term asked for, -1 for those that the shard lacks."""
+        own = {t: i for i, t in enumerate(self.terms)}
+        return np.fromiter((own.get(t, -1) for t in ids), np.int64, len(ids))
 
     def has(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
         key = term * self.span + at
@@ -76,20 +93,27 @@ class Shard:
 
     def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """Phrase and start of every exact occurrence."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64)
         if not len(phrases.words) or not len(self.key):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        rarity = self.frequency(phrases.term)
-        order = np.argsort(rarity, axis=1, kind="stable")
-        least = np.take_along_axis(rarity, order[:, :1], 1)[:, 0]
-        alive = np.flatnonzero(least > 0)  # a term that the shard lacks rules its phrases out
-        count = least[alive]
-        phrase = np.repeat(alive, count)
-        within = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
-        start = self.position[self.start[phrases.term[phrase, order[phrase, 0]]] + within] - order[phrase, 0]
+            return none
+        own = np.append(self.local(phrases.ids), -2)  # -2 pads phrases that are shorter than the longest
+        term = own[phrases.term]
+        # A term that the shard lacks rules its phrases out.
+        alive = np.flatnonzero((term != -1).all(axis=1))
+        if not len(alive):
+            return none
+        rarity = np.where(term[alive] >= 0, self.count[term[alive]], np.iinfo(np.int64).max)
+        order = np.zeros_like(term)
+        order[alive] = np.argsort(rarity, axis=1, kind="stable")
+        rarest = term[alive, order[alive, 0]]
+        times = self.count[rarest]
+        phrase = np.repeat(alive, times)
+        within = np.arange(len(phrase)) - np.repeat(np.cumsum(times) - times, times)
+        start = self.position[np.repeat(self.start[rarest], times) + within] - order[phrase, 0]
         for step in range(1, phrases.width):
             offset = order[phrase, step]
-            term = phrases.term[phrase, offset]
-            ok = (term < 0) | self.has(np.maximum(term, 0), start + offset)
+            other = term[phrase, offset]
+            ok = (other < 0) | self.has(np.maximum(other, 0), start + offset)
             phrase, start = phrase[ok], start[ok]
         ok = start >= 0
         return phrase[ok], start[ok]
@@ -97,97 +121,121 @@ class Shard:
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, side="right") - 1
 
+    def near(self, own: np.ndarray, slop: int, anchor: int | None = None) -> np.ndarray:
+        """Positions of the rarest of some terms, or of ``anchor``, about which all of them occur, in any order, within ``slop`` words to either side."""
+        if not len(own) or (own < 0).any():
+            return np.empty(0, np.int64)
+        own = own[np.argsort(self.count[own], kind="stable")]
+        if anchor is not None:
+            own = np.concatenate([[anchor], own])
+        at = self.position[self.start[own[0]] : self.start[own[0] + 1]]
+        for x in own[1:]:
+            there = self.position[self.start[x] : self.start[x + 1]]
+            document = self.document(at)
+            lo, hi = np.maximum(self.first[document], at - slop), np.minimum(self.first[document + 1] - 1, at + slop)
+            at = at[np.searchsorted(there, hi, side="right") > np.searchsorted(there, lo, side="left")]
+        return at
+
+
+_POSTINGS = "n_words array<int>, terms array<binary>, counts array<int>, positions array<int>"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as shards hold them: some rows, fewer if their texts are long."""
+    for b in pieces(batches, SHARD_ROWS):
+        at, size, column = 0, 0, b.column(b.schema.get_field_index("text"))
+        for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+            size += n or 0
+            if size > SHARD_BYTES and i > at:
+                yield b.slice(at, i - at)
+                at, size = i, n or 0
+        yield b.slice(at)
+
+
+def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The index of all tokens of all texts: one row per shard, ``ids, n_words, terms, counts, positions``.
+
+    ``positions`` are word places in the shard, term by term as ``terms`` has them in order, ``counts`` of them each.
+    Words are runs of ASCII letters and digits and of other than ASCII characters, in ASCII lower case; null texts have none.
+    """
+    docs = narrowed(docs, doc_id=id_col, text=text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in _blocks(batches):
+            if not b.num_rows:
+                continue
+            n, names, counts, positions = Shard.postings(raw(b.column(1)))
+            yield pa.RecordBatch.from_arrays([
+                pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0)), pa.array([n], pa.list_(pa.int32())), pa.array([names], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32())),
+                pa.ListArray.from_arrays(pa.array([0, len(positions)], pa.int32()), pa.array(positions.astype(np.int32))),
+            ], ["ids", "n_words", "terms", "counts", "positions"])
+
+    return docs.mapInArrow(run, f"ids array<{kind}>, {_POSTINGS}")
+
+
+def _shards(b: pa.RecordBatch, gap: int) -> Iterator[Shard]:
+    n, names, counts, positions = (b.column(b.schema.get_field_index(c)) for c in ("n_words", "terms", "counts", "positions"))
+    for i in range(b.num_rows):
+        yield Shard(n[i].values.to_numpy().astype(np.int64), names[i].values.to_pylist(), counts[i].values.to_numpy().astype(np.int64), positions[i].values.to_numpy().astype(np.int64), gap)
+
 
-def near(shard: Shard, words: list[bytes], ids: dict[bytes, int], slop: int, anchor: bytes | None = None) -> np.ndarray:
-    """Positions of the rarest word, or of ``anchor``, about which all words occur, in any order, within ``slop`` words to either side."""
-    t = np.array([ids.get(w, -1) for w in words], np.int64)
-    if not len(t) or (t < 0).any():
-        return np.empty(0, np.int64)
-    t = t[np.argsort(shard.frequency(t), kind="stable")]
-    if anchor is not None:
-        t = np.concatenate([[ids[anchor]], t])
-    at = shard.position[shard.start[t[0]] : shard.start[t[0] + 1]]
-    for x in t[1:]:
-        there = shard.position[shard.start[x] : shard.start[x + 1]]
-        lo = np.maximum(shard.first[shard.document(at)], at - slop)
-        hi = np.minimum(shard.first[shard.document(at) + 1] - 1, at + slop)
-        at = at[np.searchsorted(there, hi, side="right") > np.searchsorted(there, lo, side="left")]
-    return at
+def _saved(index: DataFrame, scratch: Scratch) -> DataFrame:
+    """The index as a table, its shards numbered."""
+    return scratch.save(index.select(F.monotonically_increasing_id().alias("shard"), "*"), "index")
 
 
-_MATCHES = "n_words long, n_hit long, spans array<struct<first:int,last:int>>, items array<string>, nameless boolean"
+_MATCHES = "shard long, row int, spans array<struct<first:int,last:int>>, items array<string>, nameless boolean"
 
 
-def _slices(benchmark: DataFrame, scratch: Scratch) -> list[list[tuple[str | None, bytes | None]]]:
-    """The test items in lists of at most SLICE_WORDS words, each small enough to be sent to all executors."""
+def _slices(benchmark: DataFrame, scratch: Scratch) -> Iterator[list[tuple[str | None, bytes | None]]]:
+    """The test items in lists of at most SLICE_WORDS words, each small enough to be sent to all executors; one at a time is gathered."""
     sized = scratch.save(benchmark.select("item_id", "text", (F.octet_length(F.coalesce("text", F.lit(""))) / 2 + 1).cast("long").alias("size")), "items")
     total = sized.agg(F.sum("size")).first()[0] or 0
     n = max(1, -(-total // (SLICE_WORDS // 2)))
     dealt = sized.withColumn("slice", F.pmod(F.xxhash64(F.coalesce("item_id", "text")), F.lit(n)))
-    return [[(r.item_id, None if r.text is None else r.text.encode()) for r in dealt.where(F.col("slice") == k).select("item_id", "text").collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.item_id, None if r.text is None else r.text.encode()) for r in dealt.where(F.col("slice") == k).select("item_id", "text").collect()]
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, null_ids: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, spans, items, nameless``; spans are word ranges hit, first and last included.
+def _tests(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return narrowed(benchmark, item_id=item_col, text=item_text).withColumn("item_id", F.col("item_id").cast("string"))
+
+
+def _matched(sent):
+    """Of each shard the documents in which a phrase occurs; ``sent`` is a broadcast of the phrases."""
 
-    A phrase is a run of ``window`` words of an item, or a whole item of fewer. Words are runs of ASCII letters and
-    digits and of other than ASCII characters, in ASCII lower case. Null and wordless texts have no words and no match;
-    wordless items are no phrases, nor are items with null ids unless ``null_ids``: then these hit as others do, are left
-    out of ``items`` and set ``nameless``. Repeated rows are each judged; texts are read whole. With no items
-    nothing matches; further columns are ignored.
-    """
-    spark = docs.sparkSession
-    docs = narrowed(docs, doc_id=id_col, text=text_col)
-    tests = narrowed(benchmark, item_id=item_col, text=item_text).withColumn("item_id", F.col("item_id").cast("string"))
-    tests = tests if null_ids else tests.where("item_id is not null")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    slices = _slices(tests, Scratch(spark, "items"))
-    if len(slices) > 1:
-        # Parts of a document's matches come from several passes; the text's hash tells apart rows that share an id.
-        docs = docs.withColumn("h", F.xxhash64("text"))
-    parts = [docs.mapInArrow(_matched(Phrases(items, window)), f"doc_id {kind}, {'h long, ' * (len(slices) > 1)}{_MATCHES}") for items in slices]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for more in parts[1:]:
-        more = more.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), F.col("spans").alias("more_spans"), F.col("items").alias("more_items"), F.col("nameless").alias("more_nameless"))
-        out = out.join(more, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("h").eqNullSafe(F.col("of_h")), "left").select("doc_id", "h", "n_words", F.array_union("spans", "more_spans").alias("spans"), F.concat("items", "more_items").alias("items"), (F.col("nameless") | F.col("more_nameless")).alias("nameless"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
-    return out.select("doc_id", "n_words", covered.cast("long").alias("n_hit"), F.array_sort("spans").alias("spans"), F.array_sort("items").alias("items"), "nameless")
-
-
-def _matched(phrases: Phrases):
     def run(batches):
-        for b in pieces(batches, SHARD_ROWS):
-            yield _found(b, phrases)
+        phrases = sent.value
+        for b in batches:
+            for number, shard in zip(b.column(0).to_pylist(), _shards(b, phrases.width)):
+                rows = _found(shard, phrases)
+                if rows:
+                    row, spans, items, nameless = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([number] * len(row), pa.int64()), pa.array(row, pa.int32()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string())), pa.array(nameless, pa.bool_())],
+                        ["shard", "row", "spans", "items", "nameless"],
+                    )
 
     return run
 
 
-def _found(b: pa.RecordBatch, phrases: Phrases) -> pa.RecordBatch:
-    shard = Shard(raw(b.column(b.schema.get_field_index("text"))), phrases)
+def _found(shard: Shard, phrases: Phrases) -> list[tuple[int, list[dict], list[str], bool]]:
+    """Row in the shard, word ranges hit, items, and whether an item without id is among them, of each document that is hit."""
     phrase, start = shard.search(phrases)
     doc = shard.document(start)
-    n_hit, spans, items, nameless = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)], np.zeros(b.num_rows, bool)
-    order = np.argsort(doc, kind="stable")
+    order, out = np.argsort(doc, kind="stable"), []
     for d, rows in zip(*_grouped(doc[order], order)):
         s = start[rows] - shard.first[d]
         edge = np.zeros(int(shard.n_words[d]) + 1, np.int64)
         np.add.at(edge, s, 1)
         np.add.at(edge, s + phrases.words[phrase[rows]], -1)
         hit = np.cumsum(edge[:-1]) > 0
-        n_hit[d] = hit.sum()
         step = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-        spans[d] = [{"first": int(a), "last": int(z) - 1} for a, z in zip(step[::2], step[1::2])]
         own = np.unique(np.concatenate([phrases.owners[p] for p in np.unique(phrase[rows])]))
         ids = [phrases.items[i] for i in own]
-        nameless[d] = None in ids
-        items[d] = sorted(i for i in ids if i is not None)
-    keep = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
-    return pa.RecordBatch.from_arrays(
-        [*keep, pa.array(shard.n_words), pa.array(n_hit), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), pa.array(items, pa.list_(pa.string())), pa.array(nameless)],
-        [*(n for n in b.schema.names if n != "text"), "n_words", "n_hit", "spans", "items", "nameless"],
-    )
+        out.append((int(d), [{"first": int(a), "last": int(z) - 1} for a, z in zip(step[::2], step[1::2])], sorted(i for i in ids if i is not None), None in ids))
+    return out
 
 
 def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -195,77 +243,109 @@ def _grouped(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return u, np.split(rows, at[1:]) if len(u) else []
 
 
+def _covered(spans: Column) -> Column:
+    """Words in sorted ranges that may overlap."""
+    start = F.struct(F.lit(-1).alias("end"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(spans, start, lambda t, s: F.struct(F.greatest(t["end"], s["last"]).alias("end"), (t["n"] + F.greatest(s["last"] - F.greatest(s["first"] - 1, t["end"]), F.lit(0))).cast("long").alias("n")), lambda t: t["n"])
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, null_ids: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, n_words, n_hit, spans, items, nameless``; spans are word ranges hit, first and last included.
+
+    A phrase is a run of ``window`` words of an item, or a whole item of fewer. Words are runs of ASCII letters and
+    digits and of other than ASCII characters, in ASCII lower case. Null and wordless texts have no words and no match;
+    wordless items are no phrases, nor are items with null ids unless ``null_ids``: then these hit as others do, are left
+    out of ``items`` and set ``nameless``. Repeated rows are each judged; texts are read whole. With no items
+    nothing matches; an empty table gives no rows; further columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession, "phrases")
+    return index_matches(_saved(positional_index(docs, id_col, text_col), scratch), benchmark, scratch, item_col, item_text, window, null_ids)
+
+
+def index_matches(index: DataFrame, benchmark: DataFrame, scratch: Scratch, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, null_ids: bool = False) -> DataFrame:
+    """``phrase_matches`` on a stored index with ``shard``, the shards' numbers: the documents aren't read again."""
+    tests = _tests(benchmark, item_col, item_text)
+    tests = tests if null_ids else tests.where("item_id is not null")
+    found, slices = None, 0
+    for items in _slices(tests, scratch):
+        # Written before the next slice is gathered, so that one slice is held at a time.
+        sent = index.sparkSession.sparkContext.broadcast(Phrases(items, window))
+        part = scratch.save(index.drop("ids").mapInArrow(_matched(sent), _MATCHES), "matches")
+        sent.destroy()
+        found, slices = part if found is None else found.unionByName(part), slices + 1
+    if slices > 1:
+        found = found.groupBy("shard", "row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.max("nameless").alias("nameless"))
+    every = index.select("shard", F.posexplode(F.arrays_zip("ids", "n_words")).alias("row", "x")).select("shard", "row", F.col("x.ids").alias("doc_id"), F.col("x.n_words").cast("long").alias("n_words"))
+    out = every.join(found, ["shard", "row"], "left")
+    spans = F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>"))
+    return out.select("doc_id", "n_words", _covered(spans).alias("n_hit"), spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("nameless", F.lit(False)).alias("nameless"))
+
+
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slop: int = WINDOW) -> DataFrame:
     """One row per document and item that meet: ``doc_id, item_id, positions``, the places of the item's anchor about which all its words occur.
 
     The anchor is the item's word that is rarest in all documents, the least of equals; the others may stand in any
     order within ``slop`` words to either side of it. Words are as in ``phrase_matches``, counted from 0. Each row of
-    either table is matched by itself, null ids too; wordless items meet nothing.
+    either table is matched by itself, null ids too; wordless items meet nothing; an empty table gives no rows.
     """
-    docs = narrowed(docs, doc_id=id_col, text=text_col)
-    tests = narrowed(benchmark, item_id=item_col, text=item_text).withColumn("item_id", F.col("item_id").cast("string"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = None
-    for items in _slices(tests, Scratch(docs.sparkSession, "items")):
-        part = docs.mapInArrow(_near(items, _counts(docs, Phrases(items, 1)), slop), f"doc_id {kind}, item_id string, positions array<long>")
+    scratch = Scratch(docs.sparkSession, "near")
+    index = _saved(positional_index(docs, id_col, text_col), scratch)
+    kind, out = index.schema["ids"].dataType.elementType.simpleString(), None
+    for items in _slices(_tests(benchmark, item_col, item_text), scratch):
+        asked = {t: None for _, text in items for t in terms(text)}
+        counts = _counts(index, list(asked))
+        sent = index.sparkSession.sparkContext.broadcast([(i, w, min(w, key=lambda x: (counts[x], x))) for i, t in items if (w := sorted(set(terms(t)))) and all(x in counts for x in w)])
+        part = scratch.save(index.mapInArrow(_near(sent, slop), f"doc_id {kind}, item_id string, positions array<long>"), "near")
+        sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _counts(docs: DataFrame, phrases: Phrases) -> dict[int, int]:
-    """How often each term of the phrases occurs in all documents."""
-
-    def run(batches):
-        for b in pieces(batches, SHARD_ROWS):
-            n = np.diff(Shard(raw(b.column(1)), phrases).start)
-            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["term", "n"])
-
-    return {r.term: r.n for r in docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+def _counts(index: DataFrame, asked: list[bytes]) -> dict[bytes, int]:
+    """How often each of some terms, at most those of one slice, occurs in all documents."""
+    own = index.sparkSession.createDataFrame([(bytearray(t),) for t in asked], "term binary")
+    found = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    return {bytes(r.term): r.n for r in found.join(own, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
-def _near(items: list[tuple[str | None, bytes | None]], counts: dict[int, int], slop: int):
-    phrases = Phrases(items, 1)
-    asked = [(i, sorted(set(terms(t)))) for i, t in items]
-    # An item with a word that no document has meets nothing.
-    asked = [(i, w, min(w, key=lambda x: (counts[phrases.ids[x]], x))) for i, w in asked if w and all(phrases.ids[x] in counts for x in w)]
-
+def _near(sent, slop: int):
     def run(batches):
-        for b in pieces(batches, SHARD_ROWS):
-            shard = Shard(raw(b.column(1)), phrases)
-            rows, names, places = [], [], []
-            for item, words, anchor in asked:
-                at = near(shard, words, phrases.ids, slop, anchor)
-                for d, p in zip(*_grouped(shard.document(at), at)):
-                    rows.append(int(d))
-                    names.append(item)
-                    places.append((p - shard.first[d]).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int64()))], ["doc_id", "item_id", "positions"])
+        for b in batches:
+            ids = b.column(b.schema.get_field_index("ids"))
+            for i, shard in enumerate(_shards(b, slop)):
+                own = {t: k for k, t in enumerate(shard.terms)}
+                rows, names, places = [], [], []
+                for item, words, anchor in sent.value:
+                    at = shard.near(np.array([own.get(w, -1) for w in words], np.int64), slop, own.get(anchor, -1))
+                    for d, p in zip(*_grouped(shard.document(at), at)):
+                        rows.append(int(d))
+                        names.append(item)
+                        places.append((p - shard.first[d]).tolist())
+                yield pa.RecordBatch.from_arrays([ids[i].values.take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int64()))], ["doc_id", "item_id", "positions"])
 
     return run
 
 
+_VERDICT = "n_hit > 0 and 20 * n_hit >= n_words"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """``phrase_matches``, by items with null ids too, with the verdict: at least a twentieth of a document's words, and one at least, are hit."""
-    return phrase_matches(docs, benchmark, null_ids=True, **columns).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return phrase_matches(docs, benchmark, null_ids=True, **columns).withColumn("contaminated", F.expr(_VERDICT))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that ``contamination`` clears."""
-    verdict = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    tests = narrowed(benchmark, item_id="item_id", text="text").withColumn("item_id", F.col("item_id").cast("string"))
-    slices = _slices(tests, Scratch(docs.sparkSession, "items"))
-    if len(slices) > 1:
-        bad = phrase_matches(docs, benchmark, null_ids=True).where(verdict).select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
-    phrases = Phrases(slices[0])
+    """The rows of ``docs``, all columns as they are, that ``contamination`` clears.
 
-    def run(batches):
-        for b in pieces(batches, SHARD_ROWS):
-            found = _found(b.select(["text"]), phrases)
-            hit, words = found.column("n_hit").to_numpy(), found.column("n_words").to_numpy()
-            yield b.filter(pa.array(~((hit > 0) & (20 * hit >= words))))
-
-    return docs.mapInArrow(run, docs.schema)
+    ``docs`` has ``doc_id`` and ``text`` and may have columns of any other name. Null and wordless texts stay; of rows equal
+    in id and text all stay or all go; an empty table, or no test items, leave all as it is.
+    """
+    scratch = Scratch(docs.sparkSession, "phrases")
+    index = _saved(positional_index(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text"), "key", "text"), scratch)
+    bad = scratch.save(index_matches(index, benchmark, scratch, null_ids=True).where(_VERDICT).select("doc_id.*").distinct(), "bad")
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    gone = F.col("row.doc_id").eqNullSafe(bad["doc_id"]) & F.xxhash64("row.text").eqNullSafe(bad["h"])
+    return rows.join(bad, gone, "left_anti").select("row.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
