@@ -21,10 +21,11 @@ SMALL_BITS = 16
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    """With ``_h`` (the first 60 bits of an md5 of id and text) and ``_bytes``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(","), F.md5(text))
-    return docs.withColumns({"_h": F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"), "_bytes": F.octet_length(text).cast("long")})
+    """``row`` (a struct, so that no column of the input meets one of ours), ``h`` (the first 60 bits of an md5 of id and text) and ``bytes``."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    key = F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(","), F.md5(text))
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+    return docs.select(row, F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("h"), F.octet_length(text).cast("long").alias("bytes"))
 
 
 def _levels(rows: DataFrame, base: int, bits: int) -> DataFrame:
@@ -57,7 +58,7 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """All rows and columns of ``docs`` (it needs ``doc_id`` and ``text``) with ``shard_id, depth, n_bytes, shard_bytes, shard_docs``.
 
     ``shard_id`` is the shard's hash prefix in binary digits, empty if all fits one shard. Sizes are UTF-8 bytes of the
-    text, 0 for null. A shard is over the limit only if it holds one row, or rows equal in id and text, which no hash
+    text, 0 for null or empty ones. A shard is over the limit only if it holds one row, or rows equal in id and text, which no hash
     separates. Null ids count as empty. An empty table gives no rows; input columns with the names of the results give
     way to these.
     """
@@ -65,17 +66,15 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     scratch = Scratch(spark, "shards")
     new = ["shard_id", "depth", "n_bytes", "shard_bytes", "shard_docs"]
     docs = docs.drop(*new)
-    sized = scratch.save(_hashed(narrowed(docs, doc_id="doc_id", text="text")).select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes")), "sized")
+    sized = scratch.save(_hashed(narrowed(docs, doc_id="doc_id", text="text")).select("h", "bytes"), "sized")
     rounds, hashed, parts = directory(sized, limit, scratch), _hashed(docs), []
     for length, leaves in rounds:
-        cells = leaves.withColumnRenamed("cell", "_cell")
-        on = F.shiftright(hashed["_h"], HASH_BITS - length) == cells["_cell"]
-        parts.append(hashed.join(F.broadcast(cells) if length <= SMALL_BITS else cells, on))
+        parts.append(hashed.join(F.broadcast(leaves) if length <= SMALL_BITS else leaves, F.shiftright("h", HASH_BITS - length) == F.col("cell")))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    digits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr(f"lpad(bin(shiftright(_h, {HASH_BITS} - depth)), depth, '0')"))
-    return out.select(*(F.col(c) for c in docs.columns), digits.alias("shard_id"), F.col("depth").cast("long").alias("depth"), F.col("_bytes").alias("n_bytes"), "shard_bytes", "shard_docs")
+    digits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr(f"lpad(bin(shiftright(h, {HASH_BITS} - depth)), depth, '0')"))
+    return out.select("row.*", digits.alias("shard_id"), F.col("depth").cast("long").alias("depth"), F.col("bytes").alias("n_bytes"), "shard_bytes", "shard_docs")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

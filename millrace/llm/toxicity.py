@@ -143,13 +143,14 @@ def held_out(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on at most ``per_class`` labelled documents of each class that aren't held out, the first by hash of their id.
 
-    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts by its larger label.
+    Labels other than 0 and 1 and null ids are left out; an id labelled twice counts by its larger label, and
+    an id with several texts by the least of them.
     """
     own = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     key = F.xxhash64(F.lit(11), "doc_id")
     picked = own.where("toxic = 1").orderBy(key, "doc_id").limit(per_class).unionByName(own.where("toxic = 0").orderBy(key, "doc_id").limit(per_class))
     # At most 2 * per_class rows of two numbers: small whatever the input.
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").where("text is not null").dropDuplicates(["doc_id"]).collect()
+    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text.encode() for r in rows], [r.toxic for r in rows])
 
@@ -173,15 +174,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose ``text`` scores below the threshold. Nulls and empty texts as in ``toxicity``."""
+    """The rows of ``docs``, all columns as they are, whose ``text`` scores below the threshold.
+
+    ``docs`` has ``doc_id`` and ``text`` and may have columns of any other name. Nulls, empty texts and missing labels as in
+    ``toxicity``; rows with one text all stay or all go; an empty table gives no rows.
+    """
     model = train(narrowed(docs, doc_id="doc_id", text="text"), narrowed(labels, doc_id="doc_id", toxic="toxic"), per_class)
     at = docs.columns.index("text")
+    # Rows go as structs: Spark can't hand columns with dots in their names to Arrow functions.
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
 
     def run(batches):
         for b in pieces(batches):
-            yield b.filter(pa.array([score(t, model) < threshold for t in raw(b.column(at))], pa.bool_()))
+            yield b.filter(pa.array([score(t, model) < threshold for t in raw(b.column(0).field(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).select("row.*")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

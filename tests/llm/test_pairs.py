@@ -68,6 +68,27 @@ def test_near_dedup_keeps_one_of_each_group_and_nulls(spark):
     assert near_dedup.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_recall_of_the_coordinate_filter():
+    """Of pairs that are just similar enough, all but a few in 100,000 agree in T coordinates."""
+    rng = np.random.default_rng(3)
+    agree = []
+    for _ in range(400):
+        x = rng.integers(0, 2**63, 1750, dtype=np.uint64)
+        a, b = near_dedup.signature(x[:1500]), near_dedup.signature(x[250:])  # 1,250 of 1,750 in common: 0.714
+        agree.append(int((a == b).sum()))
+    assert min(agree) >= near_dedup.T and 43 < np.mean(agree) < 48
+
+
+def test_a_large_group_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
+    """Copies with one word changed each: long lists, one component, and no block products."""
+    monkeypatch.setattr(near_dedup, "LONG", 8)
+    monkeypatch.setattr(near_dedup, "_dense", lambda *a: pytest.fail("compared block by block"))
+    base = [f"w{i}" for i in range(300)]
+    docs = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(120)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 440)] + [(7, 7)]
@@ -86,7 +107,8 @@ def vectors(n=700, width=16):
 
 
 def test_near_vectors(spark, monkeypatch):
-    monkeypatch.setattr("millrace.llm.embedding_dedup.TILE", 150)
+    monkeypatch.setattr("millrace.llm.embedding_dedup.TILE", 60)
+    monkeypatch.setattr("millrace.llm.embedding_dedup.BLOCK", 150)
     x = vectors()
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     odd = [None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0]]

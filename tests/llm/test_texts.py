@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, mixing, sharding, suffix_dedup
 from millrace.llm._queries import SQL
-from millrace.llm.decontaminate import Phrases, Shard, near, phrase_matches
+from millrace.llm.decontaminate import Shard, phrase_matches
 from millrace.llm.line_dedup import without_repeated_lines
 from millrace.llm.mixing import mixture, mixed, shuffled
 from millrace.llm.substring_dedup import FingerprintLog, without_repeats
@@ -202,9 +202,21 @@ def test_items_without_id_contaminate(spark, monkeypatch, tmp_path, slice_words)
 
 
 def test_proximity():
-    p = Phrases([("a", b"x y z")])
-    s = Shard([b"x q q y q z", b"z", b"y x"], p)
-    assert near(s, [b"x", b"y"], p.ids, 3).tolist() == [0, s.first[2] + 1] and near(s, [b"x", b"y"], p.ids, 2).tolist() == [s.first[2] + 1]
+    n, names, counts, positions = Shard.postings([b"x q q y q z", b"z", b"y x"])
+    s = Shard(np.array(n), names, np.array(counts), positions, 3)
+    xy = np.array([names.index(b"x"), names.index(b"y")])
+    assert s.near(xy, 3).tolist() == [0, s.first[2] + 1] and s.near(xy, 2).tolist() == [s.first[2] + 1]
+
+
+def test_a_stored_index_serves_several_test_sets(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 40)
+    texts = ["a b c d", "x a b", None, "", "c d " * 30, "a b c d"]
+    scratch = Scratch(spark, "index")
+    index = decontaminate._saved(decontaminate.positional_index(docs_of(spark, texts)), scratch)
+    assert index.count() > 1 and sum(len(r.ids) for r in index.collect()) == len(texts)
+    for item, hit in (("a b", [2, 2, 0, 0, 0, 2]), ("d c", [0, 0, 0, 0, 58, 0])):
+        got = decontaminate.index_matches(index, spark.createDataFrame([(1, item)], "item_id long, text string"), scratch)
+        assert [r.n_hit for r in got.orderBy("doc_id").collect()] == hit
 
 
 @pytest.mark.parametrize("parts, slice_words", [(1, 2_000_000), (5, 2_000_000), (3, 20)])
@@ -408,3 +420,32 @@ def test_sql(spark, name):
 def test_rows_with_clashing_names(spark):
     docs = docs_of(spark, ["a b", "c"]).withColumns({"size": F.lit("x"), "copies": F.lit(1), "target": F.lit(2), "_size": F.lit(3)})
     assert mixture(docs).count() == 2 and without_repeats(docs).count() == 2 and without_repeated_bytes(docs).count() == 2
+
+
+@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op3_substring_dedup", "op4_suffix_dedup", "op5_mixing", "op6_token_counts", "op9_toxicity", "op10_embedding_near_dedup"])
+def test_queries_on_odd_and_empty_tables(spark, tmp_path, name):
+    """Each query over rows that repeat, nulls, empty and very long texts, with columns of clashing names; then over no rows."""
+    from millrace.llm._queries import QUERIES
+
+    long = " ".join(f"w{i % 977}" for i in range(40_000))
+    same = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, same, "a"), (1, same, "a"), (2, same, None), (None, same, None), (3, None, "b"), (4, "", "b"), (5, long, "b"), (None, None, None)]
+    vectors = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (None, [1.0, 0.0]), (4, [0.0, 0.0])]
+    clash = {c: F.lit("x") for c in ("rid", "size", "h", "fp", "place", "row", "score", "n_shingles", "links", "vec", "n_tokens")}
+    for at, empty in (("full", False), ("empty", True)):
+        for table, data, shape in (("documents", rows, "doc_id long, text string, source string"), ("embeddings", vectors, "vec_id long, embedding array<float>"), ("labels", [(1, 1), (5, 0)], "doc_id long, toxic int")):
+            df = spark.createDataFrame(data, shape).withColumns(clash)
+            (df.limit(0) if empty else df).write.parquet(f"{tmp_path}/{at}/{table}.parquet")
+        got = QUERIES[name](spark, f"{tmp_path}/{at}").collect()
+        if empty:
+            assert got == []
+        elif name.startswith("op10"):
+            assert sorted((r.vec_id or 0, r.n_links) for r in got) == [(0, 0), (1, 1), (2, 1), (3, 0), (4, 0)]
+        else:
+            assert len(got) == len(rows)
+        if not empty and name.startswith("op3"):
+            assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 0, 0), (0, 60, 60), (1, 60, 60), (1, 60, 60), (2, 60, 60), (3, 0, 0), (4, 0, 0), (5, 40_000, 40_000)]
+        if not empty and name.startswith("op4"):
+            assert sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in got) == [(0, 0, 0), *((i, len(same), 1) for i in (0, 1, 1, 2)), (3, 0, 0), (4, 0, 0), (5, len(long), 1)]
+        if not empty and name.startswith("op2"):
+            assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 5, True)]
