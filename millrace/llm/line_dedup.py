@@ -32,12 +32,14 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     where = F.struct("doc_id", "h", "line")
     repeated = found.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last")
     late = found.join(repeated.select("h1", "h2", "first"), ["h1", "h2"]).where(where != F.col("first"))
-    covered = late.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_set("line").alias("starts"))
+    covered = late.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.array_sort(F.collect_set("line")).alias("starts"))
     out = split.join(covered, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("h").eqNullSafe(F.col("of_h")), "left").select("doc_id", "lines", "starts")
-    gone = F.expr(f"array_distinct(flatten(transform(coalesce(starts, array()), s -> sequence(s, s + {lines - 1}))))")
-    out = out.withColumn("gone", gone)
-    kept = F.expr("if(size(gone) = 0, array_join(lines, '\n'), array_join(filter(lines, (x, i) -> not array_contains(gone, i)), '\n'))")
-    return out.select("doc_id", F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.when(F.col("lines").isNotNull(), kept).alias("kept"))
+    # Windows have one length, so in order of their starts each line that stays lies between the end of one and the start of the next.
+    between = f"transform(starts, (s, j) -> slice(lines, if(j = 0, 0, starts[greatest(j - 1, 0)] + {lines}) + 1, greatest(s - if(j = 0, 0, starts[greatest(j - 1, 0)] + {lines}), 0)))"
+    rest = f"slice(lines, element_at(starts, -1) + {lines} + 1, size(lines))"
+    out = out.withColumn("stay", F.when(F.col("starts").isNull(), F.col("lines")).otherwise(F.expr(f"concat(flatten({between}), {rest})")))
+    n_lines, n_stay = (F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") for c in ("lines", "stay"))
+    return out.select("doc_id", n_lines.alias("n_lines"), (n_lines - n_stay).alias("n_removed"), F.array_join("stay", "\n").alias("kept"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

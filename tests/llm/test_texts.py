@@ -114,6 +114,22 @@ def test_lines(spark):
     assert without_repeated_lines(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed, size", [(14, 3), (15, 3), (16, 1), (17, 5)])
+def test_lines_against_brute_force(spark, seed, size):
+    rng = random.Random(seed)
+    texts = [None if rng.random() < 0.05 else "\n".join(rng.choices(["a", "b", "", "c " * 9], k=rng.randint(0, 9))) for _ in range(60)] + ["\n".join(str(i // 2) for i in range(3000))] * 2
+    got = {r.doc_id: r for r in without_repeated_lines(docs_of(spark, texts), lines=size).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        ls, gone = [] if t is None else t.split("\n"), set()
+        for k in range(len(ls) - size + 1):
+            w = tuple(ls[k : k + size])
+            gone |= set(range(k, k + size)) if w in seen else set()
+            seen.add(w)
+        kept = None if t is None else "\n".join(x for k, x in enumerate(ls) if k not in gone)
+        assert (got[i].n_lines, got[i].n_removed, got[i].kept) == (len(ls), len(gone), kept), i
+
+
 def test_tokens(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
