@@ -178,6 +178,15 @@ def java(pattern: str) -> str:
     return "(?d)" + _plain(pattern, _SPACE)
 
 
+def needed(pattern: str) -> str:
+    """The longest literal text that every match of a pattern without alternatives outside groups holds, in lower case if case doesn't matter; may be empty."""
+    bare = re.sub(r"^\(\?\w+\)", "", pattern)
+    bare = re.sub(r"\[[^\]]*\]|\([^()]*\)|\\.", "\0", bare)
+    bare = re.sub(r".(?:[*+?]|\{[^}]*\})+", "\0", bare)
+    longest = max(re.split(r"[\0^$.]", bare), key=len)
+    return longest.lower() if pattern.startswith("(?i)") else longest
+
+
 def python(pattern: str) -> re.Pattern:
     """For sequential folds."""
     text = _plain(pattern, _SPACE)

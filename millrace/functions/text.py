@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .patterns import ANSI, java
 
-#: White space as Unicode has it.
-SPACE = r"[\t\n\x0B\f\r \x{0085}\p{Z}]"
-_ALNUM = r"[\p{L}\p{Nd}]"
-_SYMBOL = r"[^\p{L}\p{Nd}\t\n\x0B\f\r \x{0085}\p{Z}]"
+#: White space as Unicode has it: each character, and a class.
+SPACES = "\t\n\x0b\f\r\x85" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "Z")
+_SPACE = r"\t\n\x0B\f\r \x{0085}\p{Z}"
 
 
 def strip_ansi(line: Column) -> Column:
-    return F.regexp_replace(line, java(ANSI), "")
+    return F.when(F.contains(line, F.lit("\x1b")), F.regexp_replace(line, java(ANSI), "")).otherwise(line)
 
 
 def trimmed(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def right_trimmed(text: Column) -> Column:
     """Without blanks, tabs and carriage returns at the end."""
-    return F.regexp_replace(text, r"(?d)[ \t\r]+$", "")
+    return F.rtrim(text, F.lit(" \t\r"))
+
+
+def left_trimmed(text: Column) -> Column:
+    """Without blanks and tabs at the start."""
+    return F.ltrim(text, F.lit(" \t"))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -41,11 +48,23 @@ def as_int(digits: Column) -> Column:
     return digits.try_cast("int")
 
 
+def _marks(text: Column, word: str, space: str) -> Column:
+    """Each run of word characters as an ``a``, each run of symbols as a ``b``, white space as it is."""
+    return F.regexp_replace(F.regexp_replace(text, f"[{word}]+", "a"), f"[^a{space}]+", "b")
+
+
 def estimate(text: Column) -> Column:
     """Estimated tokens: runs of letters and digits weigh 1.3, runs of symbols 1, a tenth more for safety, to the nearest whole."""
-    words = F.size(F.regexp_extract_all(text, F.lit(f"{_ALNUM}+"), F.lit(0)))
-    symbols = F.size(F.regexp_extract_all(text, F.lit(f"{_SYMBOL}+"), F.lit(0)))
-    return F.floor((words * F.lit(1.3).cast("double") + symbols) * F.lit(1.1).cast("double") + 0.5).cast("long")
+    # Classes of ASCII characters are looked up in a table, those of Unicode are asked for each character.
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    marks = F.when(ascii_only, _marks(text, "0-9A-Za-z", r"\t\n\x0B\f\r ")).otherwise(_marks(text, r"\p{L}\p{Nd}", _SPACE))
+
+    def weigh(m: Column) -> Column:
+        words, symbols = (F.char_length(m) - F.char_length(F.replace(m, F.lit(c))) for c in "ab")
+        return F.floor((words * F.lit(1.3).cast("double") + symbols) * F.lit(1.1).cast("double") + 0.5).cast("long")
+
+    # A lambda's argument is evaluated once, however often it is used.
+    return F.get(F.transform(F.array(marks), weigh), F.lit(0))
 
 
 def severity_rank(severity: Column) -> Column:

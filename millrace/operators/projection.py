@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import patterns as P
-from ..functions.text import as_int, group, matches, right_trimmed, strip_ansi, trimmed
+from ..functions.text import as_int, group, left_trimmed, matches, right_trimmed, strip_ansi, trimmed
 from ..schema import EVENT_COLUMNS, FRAME, LOCATION
 
 
@@ -42,10 +42,6 @@ def _some(frames: Column) -> Column:
     return F.filter(frames, lambda f: f.isNotNull())
 
 
-def _left(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?d)^[ \t]+", "")
-
-
 def _meta(**parts: Column) -> Column:
     """A map of the parts that are there and not empty, by key."""
     if not parts:
@@ -96,7 +92,7 @@ def gotest(blocks: DataFrame) -> DataFrame:
         return F.when(matches(s, P.GO_CALL), group(s, P.GO_CALL, 1)).otherwise(s)
 
     frames = F.when(kind.isin("panic", "race_condition"), _go_frames(P.GO_TEST_TAIL, called)).otherwise(_no_frames())
-    said = F.try_element_at(F.filter(F.transform(_body(), _left), lambda x: matches(x, claim) & as_int(group(x, claim, 2)).isNotNull()), F.lit(1))
+    said = F.try_element_at(F.filter(F.transform(_body(), left_trimmed), lambda x: matches(x, claim) & as_int(group(x, claim, 2)).isNotNull()), F.lit(1))
     message = trimmed(group(said, claim, 3))
     title = (
         F.when(kind == "build_failure", trimmed(group(head, err, 4)))
@@ -163,7 +159,7 @@ def pytest(blocks: DataFrame) -> DataFrame:
     )
 
     def frame(x: Column) -> Column:
-        short, long, s = P.PY_SHORT_FRAME, P.PY_LONG_FRAME, _left(x)
+        short, long, s = P.PY_SHORT_FRAME, P.PY_LONG_FRAME, left_trimmed(x)
         return F.when(matches(s, short), _frame(group(s, short, 1), group(s, short, 2), group(s, short, 3))).when(matches(x, long), _frame(group(x, long, 1), group(x, long, 2), group(x, long, 3)))
 
     frames = F.when(~warn, F.filter(F.transform(_body(), frame), lambda f: f.isNotNull() & f["line"].isNotNull()))
