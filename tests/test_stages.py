@@ -1,16 +1,21 @@
 """Stages, envelopes, detection, rendering, options and streams."""
 
 import json
+import math
+import random
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.text import estimate
+from millrace.functions import patterns as P
+from millrace.functions.text import SPACES, estimate, trimmed
 from millrace.operators import stages
 from millrace.operators import envelopes
 from millrace.operators.detection import Format, detect, list_formats, register_format, unregister_format
 from millrace.operators.envelopes import EnvelopeError, strip
+from millrace.operators.formats import generic
 from millrace.operators.formats.custom import CustomFormat
 from millrace.operators.projection import events_of
 from millrace.plans.engine import detect_report, report_lines, sift, sift_logs
@@ -273,3 +278,28 @@ def test_stream(spark, tmp_path):
         q.stop()
     got = {(r.log_id, r.title): r for r in spark.table("folded").collect()}
     assert got["a", "ERROR x"].context == ["p", "q", "r"] and got["b", "KeyError: k"].body == ["Traceback x", "  in", "KeyError: k"]
+
+
+def test_rules_search_their_own_text_first(spark):
+    rng = random.Random(5)
+    parts = [P.needed(p) for p, _, _ in P.CATALOGUE] + [" ", "x", "_", "ERRORS", "caused By:", "W1234:", "IOException:", "WARNING", "KeyError:", "\x1b[31m", "é"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 4))),) for _ in range(2000)]
+    got = generic.classified(spark.createDataFrame(rows, "line string")).select("line", "severity", "kind").collect()
+    rules = [(P.python(p), severity, kind) for p, severity, kind in P.CATALOGUE]
+    for r in got:
+        plain = re.sub(P.ANSI, "", r.line)
+        assert (r.severity, r.kind) == next(((s, k) for p, s, k in rules if p.search(plain)), (None, None)), r.line
+    assert len({r.kind for r in got}) == 6
+
+
+def test_white_space_and_estimate_by_class(spark):
+    rng = random.Random(6)
+    chars = SPACES + "aZ09é١ß漢.-_(\u200b\x1c\x00"
+    rows = [("".join(rng.choice(chars[: 14 if i % 2 else None]) for _ in range(rng.randint(0, 9))) + rng.choice(["", "b-", "é"]),) for i in range(2000)] + [(None,)]
+    space, word = r"[\t\n\x0B\f\r \x{0085}\p{Z}]", r"[\p{L}\p{Nd}]"
+    t = spark.createDataFrame(rows, "t string").select("t", trimmed(F.col("t")).alias("bare"), estimate(F.col("t")).alias("n"))
+    t = t.withColumn("bare0", F.regexp_replace("t", f"^{space}+|{space}+$", "")).withColumn("words", F.size(F.regexp_extract_all("t", F.lit(f"{word}+"), F.lit(0))))
+    t = t.withColumn("symbols", F.size(F.regexp_extract_all("t", F.lit(r"[^\p{L}\p{Nd}\t\n\x0B\f\r \x{0085}\p{Z}]+"), F.lit(0))))
+    for r in t.collect():
+        assert r.bare == r.bare0
+        assert r.n == (None if r.t is None else math.floor((r.words * 1.3 + r.symbols) * 1.1 + 0.5)), ascii(r.t)
