@@ -37,10 +37,13 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", group: int | None = None) -> DataFrame:
+        """The table as written; ``group``: bytes of a row group, more or less, for rows so large that a few fill one."""
         self._n += 1
         path = f"{self.root}/{self._n}-{name}"
-        df.write.option("compression", codec).parquet(path)
+        # Parquet's writer looks at what it holds after 100 rows only, unless told otherwise.
+        sizes = {} if group is None else {"parquet.block.size": group, "parquet.page.size.row.check.min": 1}
+        df.write.option("compression", codec).options(**sizes).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -25,6 +25,8 @@ WINDOW = 13
 SLICE_WORDS = 2_000_000
 #: Documents in a shard of the index, and bytes of text, more or less.
 SHARD_ROWS, SHARD_BYTES = 500, 4 << 20
+#: Bytes of a row group of the index, more or less. Spark's reader holds a row group's shards at once, however long the task's part of the file.
+GROUP_BYTES = 4 << 20
 
 
 def terms(text: bytes | None) -> list[bytes]:
@@ -182,7 +184,7 @@ def _shards(b: pa.RecordBatch, gap: int) -> Iterator[Shard]:
 
 def _saved(index: DataFrame, scratch: Scratch) -> DataFrame:
     """The index as a table, its shards numbered."""
-    return scratch.save(index.select(F.monotonically_increasing_id().alias("shard"), "*"), "index")
+    return scratch.save(index.select(F.monotonically_increasing_id().alias("shard"), "*"), "index", group=GROUP_BYTES)
 
 
 _MATCHES = "shard long, row int, spans array<struct<first:int,last:int>>, items array<string>, nameless boolean"

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,17 @@ def test_proximity():
     assert s.near(xy, 3).tolist() == [0, s.first[2] + 1] and s.near(xy, 2).tolist() == [s.first[2] + 1]
 
 
+def test_row_groups_of_the_index_are_bounded(spark):
+    words = "concat_ws(' ', transform(sequence(1, 80000), i -> hex(pmod(xxhash64(id, i), 65536))))"
+    docs = spark.range(0, 48, 1, 1).selectExpr("id AS doc_id", f"{words} AS text")
+    index = decontaminate._saved(decontaminate.positional_index(docs), Scratch(spark, "groups"))
+    (file,) = index.inputFiles()
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+    sizes = [sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in map(meta.row_group, range(meta.num_row_groups))]
+    assert sum(sizes) > 10 << 20 > max(sizes)
+    assert index.selectExpr("sum(size(positions))", "sum(size(ids))").first() == (48 * 80000, 48)
+
+
 def test_a_stored_index_serves_several_test_sets(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 40)
     texts = ["a b c d", "x a b", None, "", "c d " * 30, "a b c d"]
