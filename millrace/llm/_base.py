@@ -41,8 +41,8 @@ class Scratch:
         """The table as written; ``group``: bytes of a row group, more or less, for rows so large that a few fill one."""
         self._n += 1
         path = f"{self.root}/{self._n}-{name}"
-        # Parquet's writer looks at what it holds after 100 rows only, unless told otherwise.
-        sizes = {} if group is None else {"parquet.block.size": group, "parquet.page.size.row.check.min": 1}
+        # Parquet's writer looks at what it holds after 100 rows only, unless told otherwise; a dictionary begun anew for so few rows costs time and saves nothing.
+        sizes = {} if group is None else {"parquet.block.size": group, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
         df.write.option("compression", codec).options(**sizes).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

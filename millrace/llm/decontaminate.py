@@ -18,7 +18,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import ALNUM_WORD, Scratch, narrowed, pieces, raw, read_table
+from ._base import ALNUM_WORD, Scratch, narrowed, pieces, read_table
 
 WINDOW = 13
 #: Words of test items that one pass over the index may carry to all executors.
@@ -27,24 +27,54 @@ SLICE_WORDS = 2_000_000
 SHARD_ROWS, SHARD_BYTES = 500, 4 << 20
 #: Bytes of a row group of the index, more or less. Spark's reader holds a row group's shards at once, however long the task's part of the file.
 GROUP_BYTES = 4 << 20
+#: Each byte as words have it, 0 for those between words.
+_WORD_BYTES = bytes(c if ALNUM_WORD.match(bytes([c])) else 0 for c in bytes(range(256)).lower())
 
 
 def terms(text: bytes | None) -> list[bytes]:
     return ALNUM_WORD.findall((text or b"").lower())
 
 
+def _column_terms(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all texts: ``terms`` of a column of texts at once."""
+    column = pa.compute.fill_null(column.cast(pa.binary()), b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = column.buffers()[2]
+    text = np.frombuffer((b"" if data is None else data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes()).translate(_WORD_BYTES), np.uint8)
+    at = offsets - offsets[0]
+    word = text != 0
+    # A text's first byte starts a word and its last one ends a word, whatever its neighbours hold.
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edge = at[(at > 0) & (at < len(text))]
+    first[edge], last[edge - 1] = word[edge], word[edge - 1]
+    start = np.flatnonzero(first)
+    places = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - start)]).astype(np.int32)
+    return np.diff(np.searchsorted(start, at)), pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(text[word])])
+
+
+def _sorted_places(term: np.ndarray, n: int) -> np.ndarray:
+    """Places in order of their terms, which are less than ``n``; of equal ones as they stand. Sixteen bits at a time, as numpy sorts those by counting."""
+    order = np.argsort(term.astype(np.uint16), kind="stable")
+    for bits in range(16, max(n - 1, 0).bit_length(), 16):
+        order = order[np.argsort((term >> bits).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 class Phrases:
     """Test phrases of ``window`` consecutive words, or whole items of fewer, with the items that hold each; items without id come last, as one."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         self.items = sorted({i for i, _ in items}, key=lambda i: (i is None, i or ""))
         at = {x: n for n, x in enumerate(self.items)}
-        self.ids: dict[bytes, int] = {}
+        ids: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
         for item, text in items:
-            w = [self.ids.setdefault(t, len(self.ids)) for t in terms(text)]
+            w = [ids.setdefault(t, len(ids)) for t in terms(text)]
             for k in range(max(len(w) - window + 1, min(1, len(w)))):
                 found.setdefault(tuple(w[k : k + window]), set()).add(at[item])
+        self.terms = pa.array(list(ids), pa.binary())
         self.words = np.array([len(p) for p in found], np.int64)
         self.width = max(map(len, found), default=0)
         self.term = np.full((len(found), self.width), -1, np.int64)
@@ -59,34 +89,36 @@ class Shard:
     Documents lie one after the other with a gap between them that is larger than ``gap``, so nothing within it spans two.
     """
 
-    def __init__(self, n_words: np.ndarray, own: list[bytes], counts: np.ndarray, position: np.ndarray, gap: int):
-        self.n_words, self.terms = n_words, own
+    def __init__(self, n_words: np.ndarray, own: pa.Array | list[bytes], counts: np.ndarray, position: np.ndarray, gap: int):
+        self.n_words, self.terms = n_words, pa.array(own, pa.binary())
         self.count, self.start = counts, np.concatenate([[0], np.cumsum(counts)])
         # Stored positions count words only; the gaps come in here.
         dense = np.concatenate([[0], np.cumsum(n_words)])
-        document = np.searchsorted(dense, position, side="right") - 1
-        self.position = position + document * (gap + 1)
+        self.position = position + (np.repeat(np.arange(len(n_words)), n_words) * (gap + 1))[position]
         self.first = dense + np.arange(len(dense)) * (gap + 1)
         self.span = int(self.first[-1]) + 1
         self.key = np.repeat(np.arange(len(own)), counts) * self.span + self.position
 
     @staticmethod
-    def postings(texts: list[bytes | None]) -> tuple[list[int], list[bytes], list[int], np.ndarray]:
+    def inverted(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
         """Words per document, terms in order, how often each occurs, and the positions term by term."""
-        ids: dict[bytes, int] = {}
-        seqs = [[ids.setdefault(w, len(ids)) for w in terms(t)] for t in texts]
-        term = np.fromiter((i for s in seqs for i in s), np.int64, sum(map(len, seqs)))
-        names = list(ids)
-        order = sorted(range(len(names)), key=names.__getitem__)
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
-        term = rank[term] if len(names) else term
-        return [len(s) for s in seqs], [names[i] for i in order], np.bincount(term, minlength=len(names)).tolist(), np.argsort(term, kind="stable")
-
-    def local(self, ids: dict[bytes, int]) -> np.ndarray:
+        n, words = _column_terms(column)
+        coded = words.dictionary_encode()
+        order = pa.compute.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        term = rank[coded.indices.to_numpy()]
+        return n, coded.dictionary.take(order), np.bincount(term, minlength=len(rank)), _sorted_places(term, len(rank))
+
+    @staticmethod
+    def postings(texts: list[bytes | None]) -> tuple[list[int], list[bytes], list[int], np.ndarray]:
+        """``inverted`` of a list of texts, as lists."""
+        n, names, counts, positions = Shard.inverted(pa.array(texts, pa.binary()))
+        return n.tolist(), names.to_pylist(), counts.tolist(), positions
+
+    def local(self, asked: pa.Array) -> np.ndarray:
         """Place in ``terms`` of each term asked for, -1 for those that the shard lacks."""
-        own = {t: i for i, t in enumerate(self.terms)}
-        return np.fromiter((own.get(t, -1) for t in ids), np.int64, len(ids))
+        return pa.compute.fill_null(pa.compute.index_in(asked, value_set=self.terms), -1).to_numpy().astype(np.int64)
 
     def has(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
         key = term * self.span + at
@@ -98,7 +130,7 @@ class Shard:
         none = np.empty(0, np.int64), np.empty(0, np.int64)
         if not len(phrases.words) or not len(self.key):
             return none
-        own = np.append(self.local(phrases.ids), -2)  # -2 pads phrases that are shorter than the longest
+        own = np.append(self.local(phrases.terms), -2)  # -2 pads phrases that are shorter than the longest
         term = own[phrases.term]
         # A term that the shard lacks rules its phrases out.
         alive = np.flatnonzero((term != -1).all(axis=1))
@@ -167,11 +199,9 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in _blocks(batches):
             if not b.num_rows:
                 continue
-            n, names, counts, positions = Shard.postings(raw(b.column(1)))
-            yield pa.RecordBatch.from_arrays([
-                pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0)), pa.array([n], pa.list_(pa.int32())), pa.array([names], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32())),
-                pa.ListArray.from_arrays(pa.array([0, len(positions)], pa.int32()), pa.array(positions.astype(np.int32))),
-            ], ["ids", "n_words", "terms", "counts", "positions"])
+            n, names, counts, positions = Shard.inverted(b.column(1))
+            lists = (b.column(0), pa.array(n, pa.int32()), names, pa.array(counts, pa.int32()), pa.array(positions, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], ["ids", "n_words", "terms", "counts", "positions"])
 
     return docs.mapInArrow(run, f"ids array<{kind}>, {_POSTINGS}")
 
@@ -179,7 +209,7 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _shards(b: pa.RecordBatch, gap: int) -> Iterator[Shard]:
     n, names, counts, positions = (b.column(b.schema.get_field_index(c)) for c in ("n_words", "terms", "counts", "positions"))
     for i in range(b.num_rows):
-        yield Shard(n[i].values.to_numpy().astype(np.int64), names[i].values.to_pylist(), counts[i].values.to_numpy().astype(np.int64), positions[i].values.to_numpy().astype(np.int64), gap)
+        yield Shard(n[i].values.to_numpy().astype(np.int64), names[i].values, counts[i].values.to_numpy().astype(np.int64), positions[i].values.to_numpy().astype(np.int64), gap)
 
 
 def _saved(index: DataFrame, scratch: Scratch) -> DataFrame:
@@ -315,7 +345,7 @@ def _near(sent, slop: int):
         for b in batches:
             ids = b.column(b.schema.get_field_index("ids"))
             for i, shard in enumerate(_shards(b, slop)):
-                own = {t: k for k, t in enumerate(shard.terms)}
+                own = {t: k for k, t in enumerate(shard.terms.to_pylist())}
                 rows, names, places = [], [], []
                 for item, words, anchor in sent.value:
                     at = shard.near(np.array([own.get(w, -1) for w in words], np.int64), slop, own.get(anchor, -1))

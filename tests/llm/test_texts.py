@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -236,6 +238,57 @@ def test_row_groups_of_the_index_are_bounded(spark):
     assert index.selectExpr("sum(size(positions))", "sum(size(ids))").first() == (48 * 80000, 48)
 
 
+def test_the_index_is_written_without_dictionaries(spark):
+    docs = docs_of(spark, [f"a b c w{i % 7}" for i in range(2000)])
+    (file, *_) = decontaminate._saved(decontaminate.positional_index(docs.coalesce(1)), Scratch(spark, "plain")).inputFiles()
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+    chunks = [meta.row_group(g).column(c) for g in range(meta.num_row_groups) for c in range(meta.num_columns)]
+    assert len(chunks) >= 6 and not [c.path_in_schema for c in chunks if c.has_dictionary_page or "DICTIONARY" in " ".join(c.encodings)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_column_is_inverted_as_its_texts_are(seed):
+    rng = random.Random(seed)
+    signs = ["a", "B", "z", "Z", "0", "9", "é", "İ", "日", " ", "-", "/", ":", "@", "[", "`", "{", "\x7f", "\0", "\n"]
+    texts = [rng.choice([None, "", " "]) if rng.random() < 0.2 else "".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(200)]
+    texts = [t if t is None else t.encode() for t in texts]
+    column = pa.array(texts, pa.binary()).cast(pa.string())
+    for part, own in ((column, texts), (column.slice(37, 90), texts[37:127]), (column.slice(5, 0), []), (pa.nulls(3, pa.string()), [None] * 3)):
+        words = [decontaminate.terms(t) for t in own]
+        n, names, counts, positions = Shard.inverted(part)
+        places = collections.defaultdict(list)
+        for at, w in enumerate(w for ws in words for w in ws):
+            places[w].append(at)
+        assert n.tolist() == [len(ws) for ws in words] and names.to_pylist() == sorted(places)
+        assert counts.tolist() == [len(places[w]) for w in sorted(places)] and positions.tolist() == [at for w in sorted(places) for at in places[w]]
+
+
+def test_places_of_more_terms_than_sixteen_bits():
+    term = np.random.default_rng(4).integers(0, 200_000, 300_000)
+    for t, n in ((term, 200_000), (term % 65_536, 65_536), (term[:0], 0)):
+        assert (decontaminate._sorted_places(t, n) == np.argsort(t, kind="stable")).all()
+
+
+def test_inverting_costs_less_than_a_loop_over_words():
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abc')}{int(rng.paretovariate(0.5)) % 40_000}" for _ in range(300)).encode() for _ in range(500)]
+    column = pa.array(texts, pa.binary())
+
+    def seconds(work):
+        took = []
+        for _ in range(5):
+            at = time.process_time()
+            work()
+            took.append(time.process_time() - at)
+        return min(took)
+
+    def loop():
+        ids = {}
+        return [[ids.setdefault(w, len(ids)) for w in decontaminate.terms(t)] for t in texts]
+
+    assert seconds(lambda: Shard.inverted(column)) < seconds(loop)
+
+
 def test_a_stored_index_serves_several_test_sets(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 40)
     texts = ["a b c d", "x a b", None, "", "c d " * 30, "a b c d"]
